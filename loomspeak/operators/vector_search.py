@@ -1,0 +1,391 @@
+"""The k most similar vectors of every vector: inverted multi-index over the two halves of each vector.
+
+Fit      Two codebooks of K centroids (k-means on a bounded sample, SAMPLE vectors a centroid), one a half.
+         K follows the number of vectors so that a cell, a pair of centroids, holds about PER_CELL vectors.
+Index    Every usable vector is normalised and written once, sorted by its cell, to the shared folder: the slab is
+         the centroid of the first half, the cell's place within it that of the second. A slab is split into files of
+         SALTS hashes, so a slab holding a third of all vectors is written by several tasks.
+Search   A task takes the vectors of some cells of one slab. For each vector a heap walks the centroid pairs by
+         their summed distance from it until `candidates` entries are met. The visits of a block of vectors are
+         sorted by cell, so that each cell is read once from the shared index and compared with all its
+         visitors by one matrix product; the entries met are reranked by exact cosine. Vectors never pass a
+         shuffle in the search. A cell of any size is compared whole, in slices.
+
+Copies of one vector under one id fall into the same cell and are dropped there. Of the copies of a vector under
+different ids only the first k + 1 of each of the SALTS files are entries: more can't be among anybody's k nearest.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from loomspeak.runtime import shared_path
+
+#: Vectors of the fit's sample for each centroid; the sample is bounded by SAMPLE * MAX_CENTROIDS vectors.
+SAMPLE = 48
+MAX_CENTROIDS = 1024
+PER_CELL = 48
+SALTS = 4
+#: Queries of one block of a search task.
+QUERIES = 4096
+#: Queries compared at once.
+BLOCK = 4096
+
+
+def usable(vector: str | Column, dim: int) -> Column:
+    """True where the vector has dim numbers, all finite, not all zero."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    x = flat.reshape(-1, dim).astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Lloyd's algorithm; an empty centroid takes the point farthest from its own."""
+    rng = np.random.default_rng(seed)
+    x = np.unique(x, axis=0) if len(x) <= 4 * k else x
+    if len(x) <= k:
+        return x.astype(np.float32)
+    c = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
+    for _ in range(rounds):
+        d = (c * c).sum(1)[None] - 2 * x @ c.T
+        own = d.argmin(1)
+        counts = np.bincount(own, minlength=k)
+        order = np.argsort(own, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        filled = counts > 0
+        sums = np.add.reduceat(x[order], starts[filled], axis=0)
+        c[filled] = sums / counts[filled, None]
+        empty = np.flatnonzero(~filled)
+        if len(empty):
+            c[empty] = x[np.argsort(-d[np.arange(len(x)), own])[: len(empty)]]
+    return c
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
+
+
+def walk(o1: list, s1: list, o2: list, s2: list, sizes: list, enough: int) -> list[int]:
+    """Cells by summed distance, nearest first, until they hold `enough` entries: the multi-sequence algorithm.
+
+    o1, o2: the centroids of the halves by distance; s1, s2: those distances; sizes[a][b]: entries of a cell.
+    Returns a * len(o2) + b of the cells that hold any.
+    """
+    n1, n2 = len(o1), len(o2)
+    heap, met, out = [(s1[0] + s2[0], 0, 0)], 0, []
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        a, b = o1[i], o2[j]
+        if n := sizes[a][b]:
+            out.append(a * n2 + b)
+            met += n
+            if met >= enough:
+                break
+        if j + 1 < n2:
+            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+        if j == 0 and i + 1 < n1:
+            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+    return out
+
+
+class _Index:
+    """Read access to the slabs in the shared folder, with the least recently used slabs given up beyond a size."""
+
+    def __init__(self, path: str, dim: int, keep_bytes: int = 160 << 20):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(path)
+        self.dim, self.keep_bytes, self.held, self.bytes = dim, keep_bytes, {}, 0
+
+    def slab(self, s: int) -> tuple[np.ndarray, ...]:
+        """(second-half centroids, ids, their hashes, vectors, is an entry) of slab s, sorted by cell."""
+        if s in self.held:
+            self.held[s] = self.held.pop(s)
+            return self.held[s]
+        import pyarrow.dataset as ds
+
+        t = ds.dataset(f"{self.root}/slab={s}", filesystem=self.fs, format="parquet").to_table(use_threads=False).combine_chunks()
+        c2 = t["c2"].to_numpy()
+        order = np.argsort(c2, kind="stable")
+        v = np.frombuffer(t["v"].combine_chunks().buffers()[2] or b"", np.float32)[: t.num_rows * self.dim].reshape(-1, self.dim)
+        self.held[s] = (c2[order], t["id"].combine_chunks().take(pa.array(order)), t["h"].to_numpy()[order], v[order], t["entry"].to_numpy(zero_copy_only=False)[order])
+        self.bytes += v.nbytes
+        while self.bytes > self.keep_bytes and len(self.held) > 1:
+            self.bytes -= self.held.pop(next(iter(self.held)))[3].nbytes
+        return self.held[s]
+
+    def entries(self, a: int, b: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(ids, hashes, vectors) of the entries of cell (a, b)."""
+        c2, ids, h, v, entry = self.slab(a)
+        lo, hi = np.searchsorted(c2, [b, b + 1])
+        e = entry[lo:hi]
+        if e.all():
+            return ids.slice(lo, hi - lo), h[lo:hi], v[lo:hi]
+        return ids.slice(lo, hi - lo).filter(pa.array(e)), h[lo:hi][e], v[lo:hi][e]
+
+
+def _cut(s: np.ndarray, k: int, group: int = 32) -> np.ndarray:
+    """For each row a value at or below its k-th largest: the k-th largest of the maxima of groups of columns."""
+    n, w = s.shape
+    if w <= k * group:
+        return np.partition(s, w - k, axis=1)[:, w - k] if w > k else np.full(n, -4, s.dtype)
+    maxima = s[:, : w - w % group].reshape(n, -1, group).max(2)
+    if w % group:
+        maxima = np.concatenate([maxima, s[:, w - w % group :].max(1, keepdims=True)], axis=1)
+    m = maxima.shape[1]
+    return np.partition(maxima, m - k, axis=1)[:, m - k]
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of (row, id, cosine) the k best of every row by cosine, then id; with their ranks from 1."""
+    order = np.lexsort((ids, -cos, rows))
+    rows, ids, cos = rows[order], ids[order], cos[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+    keep = rank <= k
+    return rows[keep], ids[keep], cos[keep], rank[keep]
+
+
+def rerank(q: np.ndarray, h: np.ndarray, visits: list[list[int]], sizes: np.ndarray, index: _Index, k: int, wide: int = 8192) -> tuple[np.ndarray, ...]:
+    """(row, id, cosine, rank): the k best entries of the visited cells for each row of q."""
+    n2 = sizes.shape[1]
+    lens = np.fromiter(map(len, visits), np.int64, len(visits))
+    vq = np.repeat(np.arange(len(q)), lens)
+    vc = np.fromiter((c for v in visits for c in v), np.int64, int(lens.sum()))
+    size = sizes.reshape(-1)[vc]
+    small = size <= wide
+    ends = np.cumsum(np.where(small, size, 0))
+    first = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    off = ends - np.where(small, size, 0)
+    off = off - np.repeat(off[first] if len(off) else off, lens)
+    width = int((off + np.where(small, size, 0)).max(initial=1))
+    s = np.full((len(q), width), -9, np.float32)
+    kept_rows, kept_ids, kept_cos = [], [], []
+    order = np.argsort(vc, kind="stable")
+    cuts = np.flatnonzero(np.diff(vc[order], prepend=-1))
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+        g = order[lo:hi]
+        ids, hc, e = index.entries(*divmod(int(vc[g[0]]), n2))
+        rows = vq[g]
+        if small[g[0]]:
+            got = q[rows] @ e.T
+            got[h[rows][:, None] == hc[None]] = -9
+            s[rows[:, None], off[g][:, None] + np.arange(len(e))] = got
+            continue
+        for at in range(0, len(e), wide):  # a cell of any size, in slices
+            got = q[rows] @ e[at : at + wide].T
+            got[h[rows][:, None] == hc[None, at : at + wide]] = -9
+            r, c = np.nonzero(got >= np.maximum(_cut(got, k), -2)[:, None])
+            kept_rows.append(rows[r])
+            kept_ids.append(np.asarray(ids.take(pa.array(c + at)).to_pylist(), dtype=object))
+            kept_cos.append(got[r, c])
+    r, c = np.nonzero(s >= np.maximum(_cut(s, k), -2)[:, None])
+    if len(r):
+        cos = s[r, c]
+        span = width + 1
+        visit = np.searchsorted(vq[small] * span + off[small], r * span + c, side="right") - 1
+        visit = np.flatnonzero(small)[visit]
+        # Only what can be among the k best is looked up by id.
+        by = np.lexsort((-cos, r))
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        last = np.full(len(q), -4, np.float32)
+        at_k = rank == k - 1
+        last[r[by][at_k]] = cos[by][at_k]
+        need = cos >= last[r]
+        r, c, cos, visit = r[need], c[need], cos[need], visit[need]
+        names = np.empty(len(r), object)
+        order = np.argsort(vc[visit], kind="stable")
+        cuts = np.flatnonzero(np.diff(vc[visit][order], prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+            g = order[lo:hi]
+            ids, _, _ = index.entries(*divmod(int(vc[visit[g[0]]]), n2))
+            names[g] = ids.take(pa.array(c[g] - off[visit[g]])).to_pylist()
+        kept_rows.append(r)
+        kept_ids.append(names)
+        kept_cos.append(cos)
+    if not kept_rows:
+        return (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.float32), np.zeros(0, np.int64))
+    return _best(np.concatenate(kept_rows), np.concatenate(kept_ids), np.concatenate(kept_cos), k)
+
+
+def similar_vectors(
+    vectors: DataFrame,
+    id_col: str,
+    vector_col: str,
+    dim: int = 64,
+    k: int = 5,
+    candidates: int = 4096,
+    seed: int = 7,
+) -> DataFrame:
+    """(id, neighbour, cosine, rank): the k most similar vectors of every usable vector.
+
+    Vectors that are null, of another length, all zero or with NaN, infinity or null numbers, and rows without id, take
+    no part. A vector given several times under one id counts once; an id with several different usable vectors
+    takes part with each of them. Equal cosines: the smaller id comes first. With fewer than k others all of them
+    come out; an empty table gives no rows. Other columns, whatever their names, aren't read. The search is approximate:
+    a neighbour in a cell beyond the `candidates` nearest entries is missed (p3_recall measures it).
+    """
+    spark = vectors.sparkSession
+    half = dim // 2
+    good = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v")).where(
+        F.col("id").isNotNull() & usable("v", dim)
+    )
+    schema = "id string, neighbour string, cosine float, rank int"
+    n = good.count()
+    if n < 2:
+        return spark.createDataFrame([], schema)
+    cells = max(1, n // PER_CELL)
+    centroids = int(min(MAX_CENTROIDS, max(1, round(cells**0.5))))
+
+    # Fit: a bounded sample, chosen by hash so that every run takes the same.
+    want = SAMPLE * centroids
+    share = min(1.0, 1.3 * want / n)
+    sample = good.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(want)
+    pdf = sample.toArrow()
+    if not pdf.num_rows:
+        pdf = good.select("v").limit(want).toArrow()
+    x = _matrix(pdf["v"].combine_chunks(), dim)
+    books = (kmeans(x[:, :half], centroids, seed=seed), kmeans(x[:, half:], centroids, seed=seed + 1))
+    shared_books = spark.sparkContext.broadcast(books)  # at most 2 * MAX_CENTROIDS rows
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b1, b2 = shared_books.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(nearest(x[:, :half], b1), pa.int32()),
+                    pa.array(nearest(x[:, half:], b2), pa.int32()),
+                    batch.column(0),
+                    pa.array([r.tobytes() for r in x], pa.binary()),
+                ],
+                names=["slab", "c2", "id", "v"],
+            )
+
+    path = shared_path(spark, "multi-index")
+    coded = good.mapInArrow(encode, "slab int, c2 int, id string, v binary").select(
+        "*", F.xxhash64("id").alias("h"), F.xxhash64("v").alias("vh"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    )
+    copies = Window.partitionBy("slab", "salt", "c2", "vh").orderBy("id")  # these follow the partitioning by slab and salt
+    (
+        coded.repartition("slab", "salt")
+        .select("slab", "c2", "id", "v", "h", F.lag("id").over(copies).alias("before"), (F.dense_rank().over(copies) <= k + 1).alias("entry"))
+        .where("before IS NULL OR before <> id").drop("before")
+        .write.partitionBy("slab").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    )
+    rows = spark.read.parquet(path).groupBy("slab", "c2").agg(F.count("*"), F.count_if("entry")).collect()  # about n / PER_CELL numbers
+    queries, sizes = np.zeros((2, len(books[0]), len(books[1])), np.int64)
+    for a, b, all_of, entries in rows:
+        queries[a, b], sizes[a, b] = all_of, entries
+    shared_sizes = spark.sparkContext.broadcast(sizes)
+
+    # Tasks: runs of cells of one slab with about QUERIES queries; a cell with more is split by rows.
+    tasks = []
+    for a in range(queries.shape[0]):
+        begin, held = 0, 0
+        for b in range(queries.shape[1]):
+            held += int(queries[a, b])
+            if held >= QUERIES or (b == queries.shape[1] - 1 and held):
+                parts = max(1, -(-held // QUERIES))
+                tasks += [(len(tasks) + i, a, begin, b + 1, i, parts) for i in range(parts)]
+                begin, held = b + 1, 0
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b1, b2 = shared_books.value
+        sizes = shared_sizes.value
+        rows_of = sizes.tolist()
+        index = _Index(path, dim)
+        for pdf in batches:
+            for _, a, begin, end, part, parts in pdf.itertuples(index=False):
+                c2, ids, h, v, _ = index.slab(a)
+                lo, hi = np.searchsorted(c2, [begin, end])
+                names = np.asarray(ids.slice(lo, hi - lo).to_pylist()[part::parts], dtype=object)
+                h, q = h[lo:hi][part::parts], v[lo:hi][part::parts]
+                for at in range(0, len(q), BLOCK):
+                    x = q[at : at + BLOCK]
+                    d1 = (b1 * b1).sum(1)[None] - 2 * x[:, :half] @ b1.T
+                    d2 = (b2 * b2).sum(1)[None] - 2 * x[:, half:] @ b2.T
+                    o1, o2 = np.argsort(d1, axis=1), np.argsort(d2, axis=1)
+                    s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+                    visits = [
+                        walk(*one, rows_of, max(candidates, 2 * k))
+                        for one in zip(o1.tolist(), s1.tolist(), o2.tolist(), s2.tolist())
+                    ]
+                    r, near, cos, rank = rerank(x, h[at : at + BLOCK], visits, sizes, index, k)
+                    yield pd.DataFrame({"id": names[at : at + BLOCK][r], "neighbour": near, "cosine": cos, "rank": rank})
+
+    plan = spark.createDataFrame(tasks, "task int, slab int, first int, last int, part int, parts int")
+    slots = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
+    # Neighbouring tasks read the same slabs, so a partition gets a run of them.
+    return plan.repartitionByRange(slots, "task").mapInPandas(search, schema)
+
+
+def pairs_found(neighbours: DataFrame, least: float = 0.85) -> DataFrame:
+    """(answer_a, answer_b), answer_a < answer_b: pairs of at least the cosine `least` of which one is among the other's nearest."""
+    return (
+        neighbours.where(F.col("cosine") >= least)
+        .select(F.least("id", "neighbour").alias("answer_a"), F.greatest("id", "neighbour").alias("answer_b"))
+        .distinct()
+    )
+
+
+def recall(vectors: DataFrame, neighbours: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, every: int = 50) -> DataFrame:
+    """Share of the true k nearest found, over the queries whose row number is divisible by `every`, against all vectors.
+
+    The queries are compared with all vectors in blocks; the set of queries of a block is of a fixed size.
+    """
+    spark = vectors.sparkSession
+    good = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(
+        "row", F.col(id_col).alias("id"), F.col(vector_col).alias("v")
+    )
+    queries = good.where(F.pmod("row", F.lit(every)) == 0).dropDuplicates(["id"]).select("id", "v")
+    path = shared_path(spark, "recall-queries")
+    queries.write.parquet(path)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        import pyarrow.dataset as ds
+
+        where, root = fs.FileSystem.from_uri(path)
+        for batch in batches:  # a batch of vectors against every block of queries
+            if not batch.num_rows:
+                continue
+            c_ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
+            c = _matrix(batch.column(1), dim)
+            for block in ds.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=1024):
+                if block.num_rows:
+                    ids = np.asarray(block.column(0).to_pylist(), dtype=object)
+                    s = _matrix(block.column(1), dim) @ c.T
+                    s[ids[:, None] == c_ids[None]] = -9
+                    r, i = np.nonzero(s >= np.maximum(_cut(s, k), -2)[:, None])
+                    r, near, cos, _ = _best(r, c_ids[i], s[r, i], k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[r]), pa.array(near), pa.array(cos.astype(np.float32))], names=["id", "neighbour", "cosine"]
+                    )
+
+    near = good.select("id", "v").mapInArrow(exact, "id string, neighbour string, cosine float").distinct()
+    true = (
+        near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
+        .where(F.col("rank") <= k).select("id", "neighbour", "cosine")
+    )
+    got = neighbours.select("id", "neighbour", F.lit(1).alias("got"))
+    joined = true.join(got, ["id", "neighbour"], "left")
+    return joined.agg(
+        F.countDistinct("id").alias("queries"),
+        F.round(F.count("got") / F.count("*"), 4).alias("recall"),
+        F.round(F.count(F.expr("CASE WHEN cosine >= 0.85 THEN got END")) / F.count(F.expr("CASE WHEN cosine >= 0.85 THEN 1 END")), 4).alias("recall_close"),
+    )

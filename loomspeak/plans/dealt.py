@@ -1,0 +1,51 @@
+"""Queries of the core's operators for the dealt problems (2, 3 and 5) over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspeak.operators import term_frequency, vector_search
+from loomspeak.runtime import first_delivery, stage, table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a cosine of at least 0.85 of which one is among the five nearest of the other."""
+    vectors = table(spark, sf_dir, "answer_embeddings")
+    return vector_search.pairs_found(vector_search.similar_vectors(vectors, "answer_id", "embedding"))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every answer."""
+    return vector_search.similar_vectors(table(spark, sf_dir, "answer_embeddings"), "answer_id", "embedding")
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the five nearest against brute force, for the rows divisible by 50 against all rows."""
+    vectors = table(spark, sf_dir, "answer_embeddings")
+    near = stage(vector_search.similar_vectors(vectors, "answer_id", "embedding"), "neighbours")
+    return vector_search.recall(vectors, near, "answer_id", "embedding")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms too rare or too common to be of use."""
+    return term_frequency.found(table(spark, sf_dir, "answers"))
+
+
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of every term."""
+    answers = table(spark, sf_dir, "answers").select("answer_id", "loaded_at", "cleaned_reflection")
+    once = first_delivery(answers, ["answer_id"], ["loaded_at"])
+    return term_frequency.term_frequency(once, "cleaned_reflection").drop("term_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
+    "p3_recall": p3_recall,
+    "p5_found": p5_found,
+    "p5_terms": p5_terms,
+}
+SQL: dict[str, str] = {}
