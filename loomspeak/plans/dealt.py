@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspeak.operators import term_frequency, vector_search
+from loomspeak.operators import clusters, term_frequency, vector_search
 from loomspeak.runtime import first_delivery, stage, table
 
 
+def _long_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All deliveries of an answer have its text and moment, so the operator's dropping of repetitions is enough.
+    return clusters.clustered(table(spark, sf_dir, "answers"), "answer_id", "moment", "cleaned_reflection")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long answers of one moment that belong together."""
+    return _long_answers(spark, sf_dir).select("cluster_key", F.col("id").alias("answer_id")).distinct()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its moment, size and most typical answers."""
+    return clusters.described(stage(_long_answers(spark, sf_dir), "members")).withColumnRenamed("key", "moment")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a cosine of at least 0.85 of which one is among the five nearest of the other."""
     vectors = table(spark, sf_dir, "answer_embeddings")
@@ -42,6 +57,8 @@ def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p3_recall": p3_recall,
