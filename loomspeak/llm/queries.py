@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspeak.llm import sentences
+from loomspeak.llm import sentences, turns
 from loomspeak.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean turns of every transcript."""
+    return turns.clean_turns(table(spark, sf_dir, "turns"), table(spark, sf_dir, "sessions"))
+
+
+def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined templates of the raw fields with their counts and the worth of their time slots in seconds."""
+    rows = [(t["field"], " ".join(t["tokens"]), t["count"], list(t["reading"] or [])) for t in turns.mined(table(spark, sf_dir, "turns"))]
+    return spark.createDataFrame(rows, "field string, template string, lines long, slot_seconds array<int>")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every answer."""
     return sentences.sentences(table(spark, sf_dir, "answers"), "answer_id", "loaded_at", "cleaned_reflection").withColumnRenamed("id", "answer_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_templates": p1_templates,
     "p4_found": p4_found,
 }
 SQL: dict[str, str] = {}
