@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspeak.llm import sentences, turns
+from loomspeak.llm import sentences, text_quality, turns
 from loomspeak.runtime import table
 
 
@@ -26,9 +26,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "answers"), "answer_id", "loaded_at", "cleaned_reflection").withColumnRenamed("id", "answer_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly not prose, with their kind."""
+    kinds = text_quality.document_kinds(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kinds.where("kind <> 'prose'").select(kinds.id.alias("doc_id"), "kind")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics, component and kind of every document."""
+    return text_quality.document_kinds(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_templates": p1_templates,
     "p4_found": p4_found,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 SQL: dict[str, str] = {}
