@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspeak.llm import sentences, text_quality, turns
-from loomspeak.runtime import table
+from loomspeak.llm import mixing, packing, sentences, text_quality, turns
+from loomspeak.llm.tokens import token_sizes
+from loomspeak.runtime import stage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,35 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "answers"), "answer_id", "loaded_at", "cleaned_reflection").withColumnRenamed("id", "answer_id")
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents packed into the windows of every container."""
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows each container took, and how full they are."""
+    containers = table(spark, sf_dir, "containers")
+    return packing.report(stage(packing.packed(table(spark, sf_dir, "documents"), containers, "doc_id", "text"), "packed"), containers)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn so that each source has its target share, in the largest total that allows it."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that p7_mixture really reaches."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(stage(mixing.mixture(table(spark, sf_dir, "documents"), targets, "doc_id", "source", "text"), "drawn"), targets)
+
+
+def p7_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached when as many tokens are drawn as the documents of all sources hold together."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    total = token_sizes(documents, "doc_id", "text").agg(F.sum("n_tokens")).first()[0]
+    return mixing.shares(stage(mixing.mixture(documents, targets, "doc_id", "source", "text", total_tokens=total), "drawn"), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly not prose, with their kind."""
     kinds = text_quality.document_kinds(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -41,6 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_templates": p1_templates,
     "p4_found": p4_found,
+    "p6_packed": p6_packed,
+    "p6_report": p6_report,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p7_shares_full": p7_shares_full,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }
