@@ -23,6 +23,8 @@ from loomspeak.runtime import stage
 SHARD_DOCUMENTS = 50_000
 #: Sources with a target: a fixed table of few rows; more is refused.
 MAX_SOURCES = 10_000
+RESERVE = 400
+EXCHANGES = 6
 
 
 def normal_source(c):
@@ -69,6 +71,22 @@ def landing(probabilities: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def exchange(drawn: np.ndarray, free: np.ndarray, tokens: np.ndarray, missing: float) -> np.ndarray:
+    """Exchanges pairs of a drawn and an undrawn unit, of those that are free, while that brings the tokens nearer."""
+    out = drawn.copy()
+    for _ in range(EXCHANGES):
+        on, off = np.flatnonzero(free & (out == 1)), np.flatnonzero(free & (out == 0))
+        if not len(on) or not len(off):
+            break
+        left = np.abs(missing - (tokens[off][None] - tokens[on][:, None]))
+        i, j = np.unravel_index(left.argmin(), left.shape)
+        if left[i, j] >= abs(missing):
+            break
+        missing -= float(tokens[off[j]] - tokens[on[i]])
+        out[on[i]], out[off[j]] = 0, 1
+    return out
+
+
 def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: int | None) -> dict[str, float]:
     """Tokens wanted of every source.
 
@@ -121,24 +139,32 @@ def mixture(
     if not wanted:
         return spark.createDataFrame([], schema)
     rate = {s: min(float(goal[s][1]), w / sums[s][0]) for s, w in wanted.items()}
-    rows = [(s, int(r + 1e-9), max(0.0, r - int(r + 1e-9)), max(1, -(-sums[s][1] // SHARD_DOCUMENTS))) for s, r in rate.items()]
-    rates = F.broadcast(spark.createDataFrame(rows, "source string, base long, chance double, shards long"))  # at most MAX_SOURCES rows
-    units = of_target.join(rates, "source").withColumn("shard", F.pmod("salt", F.col("shards")))
+    rows = [
+        (s, int(r + 1e-9), r - int(r + 1e-9) if r - int(r + 1e-9) > 1e-9 else 0.0, max(1, -(-sums[s][1] // SHARD_DOCUMENTS)), max(1, sums[s][1] // RESERVE))
+        for s, r in rate.items()
+    ]
+    rates = F.broadcast(spark.createDataFrame(rows, "source string, base long, chance double, shards long, one_in long"))  # at most MAX_SOURCES rows
+    units = of_target.join(rates, "source").withColumn(
+        "shard", F.when(F.pmod(F.xxhash64("salt"), F.col("one_in")) == 0, F.lit(-1)).otherwise(F.pmod("salt", F.col("shards")))
+    )
     unit = f"source string, shard long, id {dict(sizes.dtypes)['id']}, salt long, n_tokens long, base long, chance double"
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["salt", "id"], ignore_index=True)
-        rng = np.random.default_rng([seed, int(pdf["shard"].iloc[0]), int(pdf["salt"].iloc[0]) & 0xFFFFFFFF])
+        pdf = pdf.sort_values(["shard", "salt", "id"], ignore_index=True)
+        rng = np.random.default_rng([seed, int(pdf["shard"].iloc[0]) + 1, int(pdf["salt"].iloc[0]) & 0xFFFFFFFF])
         pdf["chance"] = flight(pdf.chance.to_numpy(), pdf.n_tokens.to_numpy(), rng)
         return pdf
 
     def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        want = float((pdf.chance * pdf.n_tokens).sum())
         pdf = fly(pdf)
-        pdf["chance"] = landing(pdf.chance.to_numpy(), pdf.n_tokens.to_numpy())
+        drawn, tokens = landing(pdf.chance.to_numpy(), pdf.n_tokens.to_numpy()), pdf.n_tokens.to_numpy()
+        pdf["chance"] = exchange(drawn, (pdf["shard"] == -1).to_numpy(), tokens, want - float((drawn * tokens).sum()))
         return pdf
 
     names = [x.split()[0] for x in unit.split(", ")]
-    flown = stage(units.select(names).groupBy("source", "shard").applyInPandas(fly, unit), "flown")
+    reserve = units.where("shard = -1").select(names)
+    flown = stage(units.where("shard >= 0").select(names).groupBy("source", "shard").applyInPandas(fly, unit), "flown")
     open_ = flown.where("chance > 0 AND chance < 1")
     shards = max(r[3] for r in rows)
     decided = [flown.where("chance <= 0 OR chance >= 1")]
@@ -147,7 +173,7 @@ def mixture(
         again = stage(open_.withColumn("shard", F.pmod("salt", F.lit(shards))).groupBy("source", "shard").applyInPandas(fly, unit), "flown")
         decided.append(again.where("chance <= 0 OR chance >= 1"))
         open_ = again.where("chance > 0 AND chance < 1")
-    decided.append(open_.groupBy("source").applyInPandas(end, unit))
+    decided.append(open_.union(reserve).groupBy("source").applyInPandas(end, unit))
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
