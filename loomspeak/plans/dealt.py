@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspeak.functions.unicode_words import APOSTROPHES, HYPHENS
 from loomspeak.operators import clusters, term_frequency, vector_search
 from loomspeak.runtime import first_delivery, stage, table
 
@@ -65,4 +66,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
 }
-SQL: dict[str, str] = {}
+_CLEAN = (
+    r"lower(nfc_normalize(translate(regexp_replace(cleaned_reflection, '[\p{Cf}\x{34f}\x{fe00}-\x{fe0f}]', '', 'g'), '" + APOSTROPHES + HYPHENS + "', '" + "''" * len(APOSTROPHES) + "-" * len(HYPHENS) + "')))"
+)
+_ONCE = "a AS (SELECT answer_id, any_value(moment) AS moment, any_value(cleaned_reflection) AS cleaned_reflection FROM answers GROUP BY answer_id)"
+_TERMS = (
+    rf"WITH {_ONCE}, r AS (SELECT answer_id, regexp_extract_all({_CLEAN}, '(\p{{Latin}}+(?:[''-]\p{{Latin}}+)*)') AS t FROM a WHERE cleaned_reflection IS NOT NULL AND trim(cleaned_reflection, ' ' || chr(9) || chr(10) || chr(160)) <> ''), "
+    "n AS (SELECT count(*) AS n FROM r), x AS (SELECT answer_id, unnest(t) AS term FROM r), c AS (SELECT term, count(*) AS occurrences, count(DISTINCT answer_id) AS records FROM x GROUP BY term), "
+    "m AS (SELECT term, occurrences, records, n AS n_records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * n THEN 'common' END AS mark FROM c, n) "
+)
+_VECTORS = (
+    "v AS (SELECT answer_id AS id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM answer_embeddings WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY answer_id), "
+    "p AS (SELECT a.id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour) AS r FROM p)"
+)
+
+SQL: dict[str, str] = {
+    "p2_found": (
+        rf"WITH RECURSIVE {_ONCE}, w AS (SELECT answer_id, moment, list_distinct(regexp_extract_all({_CLEAN}, '([\p{{L}}\p{{M}}\p{{N}}]+(?:[''-][\p{{L}}\p{{M}}\p{{N}}]+)*)')) AS w FROM a WHERE moment IS NOT NULL AND cleaned_reflection IS NOT NULL), "
+        "l AS (SELECT * FROM w WHERE len(w) > 55), p AS (SELECT x.answer_id AS a, y.answer_id AS b, len(list_intersect(x.w, y.w)) AS shared, len(x.w) + len(y.w) AS total FROM l x JOIN l y ON x.moment = y.moment AND x.answer_id < y.answer_id), "
+        "e AS MATERIALIZED (SELECT a, b FROM p WHERE shared >= 0.55 * (total - shared)), d AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT a, a AS b FROM d UNION SELECT r.a, d.b FROM reach r JOIN d ON r.b = d.a) "
+        "SELECT min(b) AS cluster_key, a AS answer_id FROM reach GROUP BY a"
+    ),
+    "p3_found": f"WITH {_VECTORS} SELECT DISTINCT least(id, neighbour) AS answer_a, greatest(id, neighbour) AS answer_b FROM k WHERE r <= 5 AND c >= 0.85",
+    "p5_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
+    "p5_terms": _TERMS + "SELECT term, occurrences, records, n_records, mark FROM m",
+}
