@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from loomspeak.operators import vector_search as V
+
+DIM = 8
+
+
+def brute(rows, k):
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and len(v) == DIM and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float)):
+            good[i] = np.array(v, np.float32) / np.linalg.norm(np.array(v, np.float32))
+    out = {}
+    for i, v in good.items():
+        near = sorted(((-float(v @ w), j) for j, w in good.items() if j != i))[:k]
+        out[i] = [round(-c, 4) for c, _ in near]
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "clash") for i, v in rows], "answer_id string, embedding array<float>, slab string")
+
+
+def test_walk_gives_cells_by_summed_distance():
+    rng = np.random.default_rng(1)
+    d1, d2 = np.sort(rng.random(6)), np.sort(rng.random(5))
+    sizes = [[1] * 5 for _ in range(6)]
+    cells = V.walk(list(range(6)), d1.tolist(), list(range(5)), d2.tolist(), sizes, 30)
+    want = sorted(range(30), key=lambda c: d1[c // 5] + d2[c % 5])
+    assert cells == want
+    assert V.walk(list(range(6)), d1.tolist(), list(range(5)), d2.tolist(), sizes, 7) == want[:7]
+
+
+def test_all_entries_met_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"a{i:03d}", [float(x) for x in rng.normal(size=DIM)]) for i in range(300)]
+    rows += [(f"b{i}", rows[i][1]) for i in range(20)] + rows[:5]
+    rows += [("n", None), ("z", [0.0] * DIM), ("s", [1.0]), ("q", [float("nan")] * DIM), (None, [1.0] * DIM)]
+    got = {}
+    for r in sorted(V.similar_vectors(frame(spark, rows), "answer_id", "embedding", dim=DIM, candidates=10**6).collect(), key=lambda r: r.rank):
+        assert r.id != r.neighbour
+        got.setdefault(r.id, []).append(round(r.cosine, 4))
+    want = brute(rows, 5)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], abs=2e-4)
+
+
+def test_many_copies_and_ties(spark):
+    v, w = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    rows = [(f"c{i:03d}", v) for i in range(200)] + [("w", w)]
+    got = {}
+    for r in V.similar_vectors(frame(spark, rows), "answer_id", "embedding", dim=DIM, k=3).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    assert sorted(got["c100"]) == [(1, "c000"), (2, "c001"), (3, "c002")]
+    assert sorted(got["c001"]) == [(1, "c000"), (2, "c002"), (3, "c003")]
+    assert len(got) == 201 and len(got["w"]) == 3
+
+
+def test_cells_wider_than_a_slice():
+    rng = np.random.default_rng(2)
+    e = rng.normal(size=(40, DIM)).astype(np.float32)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    import pyarrow as pa
+
+    class Index:
+        def entries(self, a, b):
+            return pa.array([f"{i:02d}" for i in range(40)]), np.arange(40), e
+
+    r, ids, cos, rank = V.rerank(e[:4], np.arange(4), [[0]] * 4, np.array([[40]]), Index(), 3, wide=7)
+    s = e[:4] @ e.T
+    s[np.arange(4), np.arange(4)] = -9
+    for q in range(4):
+        assert [int(i) for i in ids[r == q]] == list(np.argsort(-s[q])[:3])
+
+
+def test_few_and_none(spark):
+    assert V.similar_vectors(frame(spark, []), "answer_id", "embedding", dim=DIM).collect() == []
+    assert V.similar_vectors(frame(spark, [("a", [1.0] * DIM)]), "answer_id", "embedding", dim=DIM).collect() == []
+    two = V.similar_vectors(frame(spark, [("a", [1.0] * DIM), ("b", [2.0] * DIM)]), "answer_id", "embedding", dim=DIM)
+    assert {(r.id, r.neighbour, r.rank) for r in two.collect()} == {("a", "b", 1), ("b", "a", 1)}
+    assert {(r.answer_a, r.answer_b) for r in V.pairs_found(two).collect()} == {("a", "b")}
+
+
+def test_recall_on_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, DIM))
+    rows = [(i, f"a{i:04d}", [float(x) for x in centres[i % 60] + rng.normal(size=DIM) * 0.05]) for i in range(1800)]
+    df = spark.createDataFrame(rows, "row int, answer_id string, embedding array<float>")
+    near = V.similar_vectors(df, "answer_id", "embedding", dim=DIM, candidates=400)
+    got = V.recall(df, near, "answer_id", "embedding", dim=DIM).first()
+    assert got.queries == 36 and got.recall >= 0.9
