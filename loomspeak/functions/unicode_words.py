@@ -60,8 +60,15 @@ _ASCII_TERM = re.compile("[a-z]+(?:['-][a-z]+)*")
 _ASCII_WORD = re.compile("[a-z0-9]+(?:['-][a-z0-9]+)*")
 
 
+#: Frequent marks that part words, and the frequent apostrophe: without them most texts are ASCII.
+_FREQUENT = tuple((c, " ") for c in "“”…—–«»\u00a0\u2009\u202f") + (("’", "'"),)
+
+
 def plain(text: str) -> str:
-    """Lower case, composed, without invisible characters, one kind of apostrophe and hyphen."""
+    """Lower case, composed, without invisible characters, one kind of apostrophe and hyphen; frequent marks are blanks."""
+    if not text.isascii():
+        for mark, by in _FREQUENT:
+            text = text.replace(mark, by)
     if text.isascii():
         return text.replace("`", "'").lower()
     _, _, invisible, same = _tools()
