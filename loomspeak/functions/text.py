@@ -110,7 +110,7 @@ def join_continuation(texts: Column) -> Column:
     join = lambda a, b: F.concat(
         F.regexp_replace(F.regexp_replace(a, ENDS_OPEN, ""), rf"(?Ud)[{BLANK}]+$", ""), F.lit(" "), F.regexp_replace(F.regexp_replace(b, STARTS_OPEN, ""), rf"(?Ud)^[{BLANK}]+", "")
     )
-    return F.aggregate(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), F.element_at(texts, 1), join)
+    return F.aggregate(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), F.get(texts, F.lit(0)), join)
 
 
 def split_sentences(c: Column) -> Column:

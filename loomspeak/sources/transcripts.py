@@ -20,7 +20,7 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*.txt", exclude: s
     """
     pattern = "(?i)^" + "".join({"*": ".*", "?": "."}.get(ch, "\\" + ch if not ch.isalnum() else ch) for ch in glob) + "$"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    named = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^﻿", "").alias("content"))
+    named = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "").alias("content"))
     named = named.where(F.col("file").rlike(pattern))
     return named.where(~F.col("path").rlike(exclude)) if exclude else named
 

@@ -63,7 +63,7 @@ def test_similarity_closed_forms(spark):
 def test_topic_terms(spark):
     df = spark.createDataFrame([("a", "red car"), ("a", "red"), ("b", "blue car"), ("b", None), (None, "red")], "topic string, t string")
     rows = {(r.topic, r.term): r for r in search.topic_terms(df, "topic", "t", TopicModel()).collect()}
-    assert rows[("a", "red")].count == 2 and rows[("a", "red")].place == 1 and ("b", "blue car") in rows
+    assert rows[("a", "red")]["count"] == 2 and rows[("a", "red")].place == 1 and ("b", "blue car") in rows
 
 
 def test_totals_and_describe(spark):
