@@ -31,12 +31,12 @@ from loomspeak.runtime import shared_path
 #: Vectors of the fit's sample for each centroid; the sample is bounded by SAMPLE * MAX_CENTROIDS vectors.
 SAMPLE = 48
 MAX_CENTROIDS = 1024
-PER_CELL = 48
+PER_CELL = 96
 SALTS = 4
 #: Queries of one block of a search task.
 QUERIES = 4096
 #: Queries compared at once.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def usable(vector: str | Column, dim: int) -> Column:
@@ -226,7 +226,7 @@ def similar_vectors(
     vector_col: str,
     dim: int = 64,
     k: int = 5,
-    candidates: int = 4096,
+    candidates: int = 8192,
     seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar vectors of every usable vector.
