@@ -6,9 +6,11 @@ Mixture     The statistics are squashed where they are long-tailed, standardised
             over the staged statistics: every partition adds up responsibilities, sums and products, so that one small row
             a partition reaches the driver. The start is k-means on a bounded sample of SAMPLE documents.
 Kinds       EXAMPLES, short texts read and judged one by one, are passed through the same statistics. A component takes the
-            kind of the examples it is responsible for, or, without any, of the example nearest to its mean. A document's
-            kind is that of most of its responsibility. As an exact check a kind other than prose must hold the greatest
-            share of the document's characters, or its repetition must show: otherwise the shares decide.
+            kind of the examples that belong to it, or, without any, the kind of most characters of its mean. A document's
+            kind is that of most of its responsibility. An exact check corrects stated contradictions only: a text that is
+            nothing but repetition and no table is junk, and a kind other than junk of which less than CONTRADICTED of the
+            document's characters are gives way to the next by responsibility. Junk needs no share of its own, as lines of
+            symbols or of one sentence look like a list or prose one by one.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ ROUNDS = 20
 SAMPLE = 4000
 #: How far the three commonest segments must make up a text before a text is endlessly repeated.
 REPEATED = 0.75
+#: Squared distance in deviations up to which an example belongs to a component: 99.9 % of a Gaussian of 12 variables.
+TYPICAL = 32.9
+#: Below this share of the characters a kind other than junk contradicts the text.
+CONTRADICTED = 0.05
 #: Statistics in the mixture.
 FEATURES = (
     "mean_word_length", "symbol_ratio", "digit_ratio", "share_lines_punctuated", "share_common_words", "mean_words_per_line",
@@ -194,19 +200,35 @@ def _chosen(numbers: list[float]) -> list[float]:
 
 
 def component_kinds(scale: tuple, mixture: tuple) -> list[str]:
-    """The kind of every component by the inspected examples."""
+    """The kind of every component by the inspected examples, or by the shares of its mean if no example belongs to it."""
     z = (_features(np.array([_chosen(statistics(t)) for _, t in EXAMPLES])) - scale[0]) / scale[1]
     p = _responsibilities(z, mixture)
     out = []
     for k in range(len(mixture[0])):
-        votes = {kind: sum(p[i, k] for i, (x, _) in enumerate(EXAMPLES) if x == kind) for kind in KINDS}
+        y = np.linalg.solve(np.linalg.cholesky(mixture[2][k]), (z - mixture[1][k]).T)
+        typical = (y * y).sum(0) <= TYPICAL
+        votes = {kind: sum(p[i, k] * typical[i] for i, (x, _) in enumerate(EXAMPLES) if x == kind) for kind in KINDS}
         best = max(votes, key=votes.get)
         if votes[best] < 0.5:
-            best = EXAMPLES[int(((z - mixture[1][k]) ** 2).sum(1).argmin())][0]
+            mean = mixture[1][k] * scale[1] + scale[0]
+            best = max(KINDS, key=lambda kind: mean[FEATURES.index(f"share_{kind}")])
         out.append(best)
     return out
 
 
+def checked_kinds(by_kind: np.ndarray, shares: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Positions in KINDS: the mixture's kind of every row unless the text contradicts it.
+
+    by_kind: the responsibility of each kind; shares: of the characters in lines of each kind, by which kinds of equal
+    responsibility are ordered; repeated: share_repeated_segments.
+    """
+    junk, table = KINDS.index("junk"), KINDS.index("table")
+    possible = shares >= CONTRADICTED
+    possible[:, junk] = True
+    best = np.where(possible, by_kind + 1e-9 * shares, -1.0).argmax(1)
+    return np.where((repeated > REPEATED) & (best != table), junk, best)
+
+
 def document_kinds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, component, certainty, the statistics) of every document whose text isn't null or blank.
 
@@ -232,11 +254,7 @@ def document_kinds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
             p = _responsibilities((_features(x[:, at]) - scale[0]) / scale[1], mixture)
             by_kind = p @ of
-            best = by_kind.argmax(1)
-            lines = x[:, shares].argmax(1)
-            repeated = x[:, NAMES.index("share_repeated_segments")] > REPEATED
-            table = lines == KINDS.index("table")
-            checked = np.where(repeated & ~table, KINDS.index("junk"), np.where(best == lines, best, lines))
+            checked = checked_kinds(by_kind, x[:, shares], x[:, NAMES.index("share_repeated_segments")])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([KINDS[i] for i in checked]), pa.array(p.argmax(1), pa.int32()), pa.array(by_kind.max(1)), *batch.columns[1:]],
                 names=["id", "kind", "component", "certainty", *NAMES],

@@ -47,6 +47,21 @@ def test_kinds_of_unseen_documents(spark):
     assert sum(got[i] == k for i, _, k in rows) >= 0.98 * len(rows)
 
 
+def test_the_mixture_decides(spark, monkeypatch):
+    monkeypatch.setattr(Q, "component_kinds", lambda scale, mixture: ["junk"] * len(mixture[0]))
+    df = spark.createDataFrame([(i, t) for i, t, _ in corpus()], "doc_id long, text string")
+    assert {r.kind for r in Q.document_kinds(df, "doc_id", "text").collect()} == {"junk"}
+
+
+def test_only_contradictions_are_corrected():
+    kinds = lambda p, s, r=0.0: Q.KINDS[Q.checked_kinds(np.array([p]), np.array([s]), np.array([r]))[0]]
+    assert kinds([0.6, 0.4, 0.0, 0.0], [0.3, 0.7, 0.0, 0.0]) == "prose"
+    assert kinds([0.0, 0.0, 0.0, 1.0], [0.0, 1.0, 0.0, 0.0]) == "junk"
+    assert kinds([0.0, 0.7, 0.3, 0.0], [0.5, 0.0, 0.5, 0.0]) == "table"
+    assert kinds([0.0, 1.0, 0.0, 0.0], [0.9, 0.0, 0.1, 0.0]) == "prose"
+    assert kinds([1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0], 0.9) == "junk" and kinds([0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0], 0.9) == "table"
+
+
 def test_examples_get_their_own_kind(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(Q.EXAMPLES)] * 1, "doc_id long, text string")
     got = {r.id: r.kind for r in Q.document_kinds(df, "doc_id", "text").collect()}
