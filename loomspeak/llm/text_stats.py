@@ -200,7 +200,7 @@ def statistics(text: str) -> list[float]:
     return [
         float(len(words)), letters / max(1, len(words)), 1 - (letters + digits) / visible if letters + digits <= visible else 0.0, digits / visible,
         sum(bool(END.search(x)) for x in lines) / len(lines), common_share(words, text), len(words) / len(lines),
-        len(set(low[:2000])) / max(1, len(low[:2000])) if low else 0.0, repeated,
+        len(set(low)) / max(1, len(low)), repeated,
         weigh["table"] / total, weigh["list"] / total, weigh["junk"] / total, weigh["prose"] / total,
         len(MOJIBAKE.findall(text)) / max(1, len(words)), sum(len(t) == 1 for t in tokens) / max(1, len(tokens)), float(max(map(len, tokens), default=0)),
     ]

@@ -22,6 +22,13 @@ def test_statistics_by_hand():
         assert len(statistics(odd)) == len(NAMES) and np.isfinite(statistics(odd)).all()
 
 
+def test_distinct_words_of_the_whole_text():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    varied = [a + b + c for a in letters for b in letters for c in "xyz"][:2000]
+    assert stat(" ".join(varied), "share_distinct_words") == 1.0
+    assert stat(" ".join(varied + ["again"] * 6000), "share_distinct_words") == 2001 / 8000
+
+
 def test_columns():
     assert columns("a;b;c") == (";", 3) and columns("| a | b |")[1] == 2 and columns('"a","b","c"')[1] == 3
     assert columns("<tr><td>a</td><td>b</td></tr>")[1] == 2 and columns("a\tb\tc")[1] == 3 and columns("name   age   town")[1] == 3
