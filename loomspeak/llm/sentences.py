@@ -5,8 +5,9 @@ Every mark that may end a sentence is judged by unambiguous occurrences elsewher
 * in the document: a word that stands elsewhere without a full stop is no abbreviation, one that stands elsewhere with a
   full stop before a lower-case word, a digit or a comma is one; a word capitalised within a sentence is a name;
 * in the corpus, where the document has nothing: the same counts over all texts, gathered in one pass that leaves one
-  row a word and block. What is kept is short words nearly always followed by a full stop that mostly doesn't end a
-  sentence, and words that begin sentences: MODEL_WORDS of each at most, the most frequent, so the model is bounded;
+  row a word and block. What is kept is all short words nearly always followed by a full stop that mostly doesn't end a
+  sentence, and all words that begin sentences. Beyond MODEL_WORDS of the latter, those that stand nowhere after a closing
+  mark are left out: only there are they asked for;
 * by script: ideographic, Devanagari, Ethiopic and Arabic marks, the Greek question mark, Thai polite particles.
 
 Marks inside a quotation or bracket don't end the sentence around it. A quotation that opens a sentence is followed by
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspeak.runtime import first_delivery, stage
+
 MODEL_WORDS = 20_000
 
 #: Common abbreviations. TITLES stand before a name or number, so even a capital after them goes on.
@@ -284,6 +287,7 @@ def split(text: str, model: Model = Model()) -> list[tuple[int, int]]:
 
 _TOKEN = re.compile(r"([^\W\d_]{1,8}(?:\.[^\W\d_]{1,2})*)(\.(?!\.)\s*(\S)?)?")
 _START = re.compile(r"[.!?]\s+([^\W\d_]+)\s")
+_AFTER = re.compile(rf"[{re.escape(''.join(sorted(set(''.join(OPEN.values())))))}](?={_SKIP}({WORD.pattern}))")
 
 
 def learn(texts: DataFrame, text_col: str) -> Model:
@@ -294,12 +298,13 @@ def learn(texts: DataFrame, text_col: str) -> Model:
         stop: Counter = Counter()
         inside: Counter = Counter()
         start: Counter = Counter()
+        after: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys = list(stop.keys() | start.keys())
+            keys = list(bare.keys() | stop.keys() | inside.keys() | start.keys() | after.keys())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (bare, stop, inside, start))],
-                names=["word", "bare", "stop", "inside", "start"],
+                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (bare, stop, inside, start, after))],
+                names=["word", "bare", "stop", "inside", "start", "after"],
             )
 
         for batch in batches:
@@ -317,22 +322,26 @@ def learn(texts: DataFrame, text_col: str) -> Model:
                 for w in _START.findall(text):
                     if w[0].isupper():
                         start[w.lower()] += 1
+                for w in _AFTER.findall(text):
+                    if w[0].islower():
+                        after[_INV.sub("", w)] += 1
         yield from out()
 
+    columns = ("bare", "stop", "inside", "start", "after")
     counts = (
-        texts.select(F.col(text_col)).where(f"`{text_col}` IS NOT NULL").mapInArrow(run, "word string, bare long, stop long, inside long, start long")
-        .groupBy("word").agg(*(F.sum(c).alias(c) for c in ("bare", "stop", "inside", "start")))
+        texts.select(F.col(text_col)).where(f"`{text_col}` IS NOT NULL").mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in columns))
+        .groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
     )
-    rows = (
+    words = stage(
         counts.withColumn("abbreviation", (F.col("stop") >= 4) & (F.length("word") <= 6) & (F.col("bare") * 8 <= F.col("stop")) & (F.col("inside") * 2 >= F.col("stop")))
         .withColumn("starter", F.col("start") >= 3)
-        .where("abbreviation OR starter")
-        .orderBy(F.desc(F.greatest("stop", "start")), "word").limit(2 * MODEL_WORDS)
-        .select("word", "abbreviation", "starter").collect()
-    )
-    return Model(
-        frozenset([r.word for r in rows if r.abbreviation][:MODEL_WORDS]), frozenset([r.word for r in rows if r.starter][:MODEL_WORDS])
+        .where("abbreviation OR starter").select("word", "abbreviation", "starter", "after"),
+        "sentence-words",
     )
+    if words.where("starter").count() > MODEL_WORDS:
+        words = words.withColumn("starter", F.expr("starter AND after > 0")).where("abbreviation OR starter")
+    rows = words.collect()
+    return Model(frozenset(r.word for r in rows if r.abbreviation), frozenset(r.word for r in rows if r.starter))
 
 
 def sentences(df: DataFrame, id_col: str, order_col: str, text_col: str) -> DataFrame:
@@ -341,10 +350,8 @@ def sentences(df: DataFrame, id_col: str, order_col: str, text_col: str) -> Data
     Null and blank texts have no row; rows without id are records of their own; of an id given several times the row first
     by order_col counts; an empty table gives no rows. Texts of any length are read whole. Other columns aren't read.
     """
-    from loomspeak.runtime import first_delivery
-
     part = df.select(F.col(id_col).alias("id"), F.col(order_col).alias("at"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    model = df.sparkSession.sparkContext.broadcast(learn(part, "t"))  # at most 2 * MODEL_WORDS words
+    model = df.sparkSession.sparkContext.broadcast(learn(part, "t"))  # words, not texts: abbreviations of at most 6 letters, and what begins sentences
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
