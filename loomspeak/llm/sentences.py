@@ -3,7 +3,8 @@
 Every mark that may end a sentence is judged by unambiguous occurrences elsewhere:
 
 * in the document: a word that stands elsewhere without a full stop is no abbreviation, one that stands elsewhere with a
-  full stop before a lower-case word, a digit or a comma is one; a word capitalised within a sentence is a name;
+  full stop before a digit or a comma is one; a word capitalised within a sentence and nowhere written small is a name,
+  before which an abbreviation goes on, unless it is one that mostly closes a phrase (CLOSING);
 * in the corpus, where the document has nothing: the same counts over all texts, gathered in one pass that leaves one
   row a word and block. What is kept is all short words nearly always followed by a full stop that mostly doesn't end a
   sentence, and all words that begin sentences. Beyond MODEL_WORDS of the latter, those that stand nowhere after a closing
@@ -41,6 +42,8 @@ ABBREVIATIONS = frozenset(
     "approx etc min max vs ca env aprox ej ex e.g i.e a.m p.m u.a z.b d.h usw bzw evtl ggf inkl inc ltd corp dept est "
     "ung std sek hrs hr mins secs tel ext resp u.s u.k a.d b.c d.c al ibid op cit π.χ κ.λπ κλπ δηλ".split()
 )
+#: Of these, what mostly closes a phrase: a name after it may well begin a sentence.
+CLOSING = frozenset("etc usw κ.λπ κλπ a.m p.m al inc ltd corp dept u.s u.k a.d b.c d.c hrs hr mins min secs sek std".split())
 #: Of these, ordinary words too: written small and not before a number they count as words unless the corpus says otherwise.
 ORDINARY = frozenset("sun sat art ed sec mar cap me ing abs tab hon col rev gen ch fig wed max inc est ext tel".split())
 #: Words after a closing quotation that carry the sentence on.
@@ -70,6 +73,9 @@ EVENT = re.compile(
 GAP = re.compile(_SKIP)
 WORD = re.compile(rf"[^\W_][\w’'{INVISIBLE}]*")
 _INV = re.compile(f"[{INVISIBLE}]")
+_NO_END = re.compile(r"(?<=[^\W\d_])\.(?:,|\s\d)")
+_INSIDE = re.compile(r"([^\W\d_])(?=,?[^\S\r\n]+([^\W\d_]+))")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -86,6 +92,8 @@ class _Document:
 
     text: str
     _bare: Counter | None = field(default=None)
+    _abbreviated: set[str] | None = field(default=None)
+    _names: set[str] | None = field(default=None)
 
     def bare(self, word: str) -> bool:
         """Stands elsewhere within a sentence without a full stop."""
@@ -94,8 +102,18 @@ class _Document:
         return self._bare[word] > 0
 
     def abbreviated(self, word: str) -> bool:
-        """Stands elsewhere with a full stop that ends nothing: before a comma or a number."""
-        return f" {word}.," in self.text or re.search(rf"\b{re.escape(word)}\.\s\d", self.text) is not None
+        """Stands elsewhere with a full stop that ends nothing, before a comma or a number, and nowhere without."""
+        if self._abbreviated is None:
+            stops = (m.start() for m in _NO_END.finditer(self.text))
+            self._abbreviated = {_INV.sub("", self.text[_left(self.text, at) : at]) for at in stops}
+        return word in self._abbreviated and not self.bare(word)
+
+    def name(self, word: str) -> bool:
+        """Stands elsewhere capitalised within a sentence, and nowhere in lower case."""
+        if self._names is None:
+            inside = {w for before, w in _INSIDE.findall(self.text) if before.islower() and w[0].isupper()}
+            self._names = {w for w in inside if w != "I"} - {w.capitalize() for w in _LETTERS.findall(self.text) if w.islower()}
+        return word in self._names
 
 
 def _left(text: str, at: int) -> int:
@@ -126,6 +144,7 @@ def _ends_with_stop(doc: _Document, text: str, at: int, nxt: int, model: Model)
     low = left.lower()
     if gap and len(left) > 2 and c.isupper() and left.isalpha() and (
         (low not in TITLES and low not in ABBREVIATIONS or low in ORDINARY and left == low) and low not in model.abbreviations
+        and not (len(left) <= 5 and doc.abbreviated(left))
     ):
         return True
     word = WORD.match(text, nxt)
@@ -154,12 +173,14 @@ def _ends_with_stop(doc: _Document, text: str, at: int, nxt: int, model: Model)
     if low in ORDINARY and left == low and not c.isdigit() and low not in model.abbreviations:
         known = False
     if not known:
-        known = (lower or c.isdigit()) and len(left) <= 5 and doc.abbreviated(left) and not doc.bare(left)
+        known = (upper or lower or c.isdigit()) and len(left) <= 5 and doc.abbreviated(left)
     if known:
         if low in TITLES:
             return not right
         if low == "etc" and lower:
             return right not in CARRY_ON
+        if upper and low not in CLOSING and doc.name(re.split("['’]", right)[0]):
+            return False
         return not lower and not c.isdigit() if right else c in "“„«\"'(¿¡—「（‘["
     if not gap:
         return upper or (lower and len(right) > 1) or not right or not c.isascii()

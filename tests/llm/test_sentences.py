@@ -95,3 +95,18 @@ def test_the_model_is_not_cut(spark, monkeypatch):
     texts += ["with krtz. 4 men. Then it fell. Then it rose. Then it ended."] * 5
     model = S.learn(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     assert {"blrg", "krtz"} <= model.abbreviations and "some" in model.starters
+
+
+def test_an_abbreviation_of_the_document_goes_on_before_its_names():
+    proof = "It was in abcd. 5, near Berlin again. "
+    assert len(S.split(proof + "He left abcd. Berlin at night.")) == 2
+    assert len(S.split("It was abcd., we saw Berlin. He left abcd. Berlin at night.")) == 2
+    assert len(S.split(proof + "He left the abcd. Then it rained.")) == 3
+    assert len(S.split("We saw Berlin and an abcd near it. He left the abcd. Berlin was dark.")) == 3
+
+
+def test_a_listed_abbreviation_goes_on_before_a_name_only():
+    assert len(S.split("We met Varvotan there. We saw approx. Varvotan as he was.", MODEL)) == 2
+    assert len(S.split("It took approx. Varvotan as he was.", MODEL)) == 2
+    assert len(S.split("We met Varvotan there. We had oars, cups etc. Varvotan was there.", MODEL)) == 3
+    assert len(S.split("He said Some and some more. We had approx. Some were there.", MODEL)) == 3
