@@ -136,7 +136,7 @@ def flags(turns: DataFrame, answers: DataFrame, people: DataFrame, files: DataFr
         _flag(sentences.where(T.n_tokens(c("s")) > study.long_sentence), "sentences", "INFO", F.left("s", F.lit(80))),
     ]
     if "unrecognised" in turns.columns:
-        frames.append(_flag(turns.where("unrecognised").join(people, "file", "left"), "moments", "WARN", F.format_string("unrecognised announcement at turn %d", "turn_idx")))
+        frames.append(_flag(turns.where("unrecognised").select("file", "turn_idx").join(people, "file", "left"), "moments", "WARN", F.format_string("unrecognised announcement at turn %d", "turn_idx")))
     if issues is not None:
         kind = {"before_first_timestamp": "WARN", "label_inside_turn": "ERROR"}
         frames += [_flag(issues.where(c("issue") == i), "parsing", s, F.format_string("line %d: %s", "line_no", F.left("line", F.lit(60)))) for i, s in kind.items()]

@@ -428,10 +428,11 @@ def segment_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-rows, O01, U01, J05: the flags of all rules, worst first within a file."""
+    """F-rows, O01, U01, J05: the flags of all rules that tables allow, with their rank; README lists those left out."""
     turns = stage(segments.with_text_flags(segments.with_roles(turns_once(spark, sf_dir))), "flagged")
     people = segments.file_people(turns)
-    _, answers, sources = _decided(spark, sf_dir)
+    segmented, answers, sources = _decided(spark, sf_dir)
+    turns = turns.join(segmented.where("unrecognised").select("file", "turn_idx", "unrecognised"), ["file", "turn_idx"], "left")
     return quality.flags(turns, answers, people, table(spark, sf_dir, "sessions").select("file").distinct(), sources)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
+import pytest
+
 from loomspeak.config import DEFAULT
 from loomspeak.operators import answers as A
 from loomspeak.operators import quality, scenes, segments
-from loomspeak.plans import fixtures
+from loomspeak.plans import catalogue, fixtures
 from tests.test_text import py_clean
 
 SCHEMA = "file string, turn_idx int, start string, end string, speaker string, text string"
@@ -124,3 +127,11 @@ def test_no_opening_and_empty(spark):
     assert segments.segment(turns).collect() == []
     empty = segments.segment(segments.with_text_flags(segments.with_roles(spark.createDataFrame([], SCHEMA))))
     assert A.build_answers(empty).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_every_unrecognised_announcement_is_flagged(spark):
+    turns = catalogue.moment_labels(spark, "/root/testdata/sf0.001").where("unrecognised").collect()
+    flags = catalogue.qc_flags(spark, "/root/testdata/sf0.001").where("check = 'moments' AND severity = 'WARN'").collect()
+    got = sorted((r.file, r.detail) for r in flags if r.detail.startswith("unrecognised"))
+    assert turns and got == sorted((r.file, f"unrecognised announcement at turn {r.turn_idx}") for r in turns)
