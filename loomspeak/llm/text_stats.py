@@ -1,13 +1,18 @@
-"""Statistics of one document's text: words, symbols, lines, common words, and what its lines are made of.
+"""Statistics of documents: words, symbols, lines and repetition, counted over the whole texts of a batch at once.
 
-Pure functions over the whole text; used inside Arrow batches by text_quality.
+A batch of texts becomes one array of code points, their classes and running sums; a figure of a document, line or token is a
+difference of sums, so no text is walked through character by character in Python.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections import Counter
 
+import numpy as np
+
 #: Words that running text of a language can hardly do without.
 COMMON_WORDS = frozenset(
     """the of and to in a is was it that for on as with at by from or be this not are but had his her my our their an they which you we there
@@ -16,202 +21,230 @@ COMMON_WORDS = frozenset(
     quand pourquoi si où comment dit sont était-il ai-je ensuite puis plus rien début cela été j'ai m'a c'était comme dans aux
     cuando porque había nada luego dijo sentí después cómo no qué duró entre todo casi una esta ese por era
     der die das und in zu den von mit ist war ein eine nicht auf sich als auch es an er sie dem des so wie bei ich mir mich aus nach wurde hatte einen einer im am vom zum ging kam
-    le la les de des et un une du est en que qui dans pour pas sur au ce il elle je ne plus par avec se son sa ses mais était à j’ai m’a c’était ai cette comme
+    le la les de des et un une du est en que qui dans pour pas sur au ce il elle je ne plus par avec se son sa ses mais était à ai cette comme
     el los las y una por con no su al lo como más pero sus me mi se era estaba en qué del ya sin esa ese muy
     και το τα η ο οι του της την τον στο στη με για από που δεν ήταν να μου ένα μια είπε τόσο έμεινε θυμάμαι
     في من على أن إن كان كانت هذا هذه ثم ما لا قال قالت هل ذلك كل شيء حقا جدا صار إلى عن
     है था थी और में से को का की के वह यह ने क्या हो गया गई मन सच पर मेरा फिर नहीं चला हुआ
     ነበር ነው እና ላይ ውስጥ ነበረ ከዚያ በጣም ለምን ሆነ ያህል ቆየ አየሁ""".split()
 )
-#: Characters of unspaced scripts that running text is full of.
-COMMON_CHARS = frozenset("のにはをたがでてとしれさいなかもよら的了我是在很着就不也这那他她有得为么到说")
-THAI_WORDS = re.compile("ค่ะ|คะ|ครับ|ที่|และ|มัน|แล้ว|ฉัน|ผม|มาก|ไม่|เป็น|ของ|ว่า|ใน|ก็|ถึง|ได้|นั้น")
+#: Characters of unspaced scripts that running text is full of, and frequent triples of Thai.
+COMMON_CHARS = "のにはをがたでてとしれさいなかもよら的了我是在很着就不也这那他她有得为么到说。"
+THAI_TRIPLES = ("ค่ะ", "ครั", "รับ", "ที่", "และ", "มัน", "ล้ว", "ฉัน", "มาก", "ไม่", "ป็น", "ของ", "ว่า", "ถึง", "ได้", "นั้")
+THAI_ENDS = ("ค่ะ", "รับ", "คะ")
 #: Words of page furniture.
 FURNITURE = frozenset(
-    """login logout log in sign up out register home menu search next previous prev page back to top bottom cookie cookies notice policy privacy terms settings share
-    help upload download file print contact about us subscribe newsletter sitemap copyright all rights reserved accept reject skip content close open
-    read more show less edit delete save cancel submit click here follow language account cart checkout loading error version updated click ok""".split()
+    """login logout log sign register home menu search next previous prev page back top bottom cookie cookies notice policy privacy terms settings share
+    help upload download file print contact subscribe newsletter sitemap copyright rights reserved accept reject skip content close read less edit delete save cancel submit
+    click account cart checkout loading error""".split()
 )
-NOTE = re.compile(r"[\[({<*]+ ?(?:inaudible|crosstalk|pause|long pause|silence|laughs?|noise|unintelligible|\.\.\.|…|music|beep|static|xx+|unclear)(?: \d+ ?s)? ?[\])}>*]+|\bxx+\b", re.I)
-MOJIBAKE = re.compile(r"[ÃÂ][\u0080-¿ŠšŽžŸŒœƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|â€[\w™œ˜“”’¢¦\x9d]?|ï¿½|ðŸ|�")
-BULLET = re.compile(r"^\s*(?:[-–—*•‣◦·+>→⇒▪■□☐☑☒✓✔✗✘○●◯]|\[[ xX✓]?\]|x (?=\S)|\(?\d{1,3}[.):](?:\d{1,3}[.)]?)*|\(?[a-zA-Z][.)](?=\s)|\d+(?:\.\d+)+|[ivxIVX]{1,5}[.)])\s*(?:\d{1,2}:\d{2}(?::\d{2})?\s*)?")
-LEADER = re.compile(r"\.{3,}\s*\d+\s*$|(?:\s\.){3,}\s*\d+\s*$")
-END = re.compile(r"[.!?…。！？｡।॥።፧؟;;:][\"'”’»)\]」』]*\s*$|[ๆ]?(?:ค่ะ|คะ|ครับ)\s*$")
-#: Ranges of combining marks, which the standard library's classes don't count as word characters.
-MARKS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"
-LETTERS = rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*"
-WORD = re.compile(rf"{LETTERS}(?:['’-]{LETTERS})*")
-CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
-THAI = re.compile("[฀-๿]")
-CELL_GAP = re.compile(r"(?<=\S)(?: {2,}|\t+)(?=\S)")
-SPEAKER = re.compile(r"^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?[^\W_][\w .()–-]{0,38}:\s+(?=\S)")
-
-
-def columns(line: str) -> tuple[str, int]:
-    """(separator, number of cells) of a line that looks like the row of a table, else ("", 0)."""
-    low = line.lower()
-    if low.count("<td") + low.count("<th") >= 2:
-        return "<td>", low.count("<td") + low.count("<th")
-    bars = line.count("|")
-    if bars >= 2:
-        inner = line.strip().strip("|")
-        return "|", inner.count("|") + 1
-    if re.fullmatch(r"\s*\+(?:[-=]+\+)+\s*|\s*[-=]{3,}(?:[ +|]+[-=]{3,})+\s*", line):
-        return "rule", 3
-    tabs = line.count("\t")
-    if tabs >= 2:
-        return "\t", tabs + 1
-    if line.count('","') >= 2:
-        return '","', line.count('","') + 1
-    for mark in (";", ","):
-        n = line.count(mark)
-        if n >= 2 and n == len(re.findall(rf"{mark}(?=\S|$)", line)) and len(WORD.findall(line)) <= 3 * (n + 1):
-            return mark, n + 1
-    gaps = len(CELL_GAP.findall(line.strip()))
-    if gaps >= 2:
-        return "  ", gaps + 1
-    return "", 0
-
-
-def common_share(words: list[str], text: str) -> float:
-    """Share of common words; of unspaced scripts, of common characters or particles."""
-    cjk, thai = len(CJK.findall(text)), len(THAI.findall(text))
-    letters = sum(map(len, words)) or 1
-    if cjk * 2 > letters:
-        return min(1.0, 1.3 * sum(c in COMMON_CHARS for c in text) / cjk)
-    if thai * 2 > letters:
-        return min(1.0, 8.0 * len(THAI_WORDS.findall(text)) / thai)
-    return sum(w.lower() in COMMON_WORDS for w in words) / max(1, len(words))
-
-
-def items_in_a_row(text: str) -> bool:
-    """Short items one after another, parted by commas, semicolons, slashes, bars or bullets, without sentences."""
-    for mark in ("; ", " / ", " | ", " • ", " · ", ", ", "、", "，", " - ", " – "):
-        parts = [p for p in text.split(mark) if p.strip()]
-        if len(parts) >= 5:
-            sizes = [len(p.split()) for p in parts]
-            short = sum(s <= 6 for s in sizes) / len(parts)
-            stops = len(re.findall(r"[.!?。！？](?:\s|$)", text))
-            if short >= 0.9 and sum(sizes) / len(parts) <= 5 and stops <= len(parts) / 8:
-                return mark != ", " or sum(sizes) / len(parts) <= 3.2
-    return False
-
-
-def line_kind(line: str) -> str:
-    """prose, list or junk, by the line alone; rows of tables are told by their neighbours."""
-    bare = line.strip()
-    left = NOTE.sub(" ", bare)
-    words = WORD.findall(left)
-    n_letters = sum(map(len, words))
-    visible = len(bare.replace(" ", ""))
-    if not left.strip(" .…-–—,;:"):
-        return "junk"
-    if n_letters < 0.45 * max(1, len(left.replace(" ", ""))) and not BULLET.match(bare) and not LEADER.search(bare):
-        return "junk"
-    if 3 * len(MOJIBAKE.findall(bare)) > 0.5 * max(1, len(words)) and len(MOJIBAKE.findall(bare)) >= 2:
-        return "junk"
-    tokens = left.split()
-    longest = max(map(len, tokens), default=0)
-    unspaced = CJK.search(bare) or THAI.search(bare)
-    if not unspaced and longest >= 40 and longest > 0.6 * visible:
-        return "junk"
-    if len(tokens) >= 8 and sum(len(t) == 1 for t in tokens) > 0.7 * len(tokens) and not unspaced:
-        return "junk"
-    if len(tokens) >= 4 and sum(bool(re.fullmatch(r"[0-9a-f]{2}", t)) for t in tokens) > 0.9 * len(tokens):
-        return "junk"
-    segments = [s for s in re.split(r"\s*[|•·»/]\s*|\s{2,}", bare) if s.strip()]
-    if words and sum(w.lower() in FURNITURE for w in words) >= 0.75 * len(words) and (len(segments) >= 2 or len(words) <= 4):
-        return "junk"
-    share = common_share(words, left)
-    marker = BULLET.match(bare)
-    body = bare[marker.end() :] if marker and marker.end() else bare
-    n = len(WORD.findall(body))
-    if LEADER.search(bare):
-        return "list"
-    if items_in_a_row(body):
-        return "list"
-    if marker and marker.end() and n <= 12 and not END.search(body):
-        return "list"
-    if re.match(r"^\s*[^\W_][\w ]{0,24}:\s", bare) and items_of(bare) and not END.search(bare):
-        return "list"
-    if unspaced:
-        return "prose" if share >= 0.12 or END.search(bare) else ("list" if len(bare) <= 12 else "junk")
-    if n >= 4 and share < 0.08 and not END.search(bare):
-        return "odd"
-    if n <= 8 and len(bare) <= 56 and not END.search(bare) and share < 0.67:
-        return "short"
-    if n >= 6 and share < 0.08:
-        return "odd"
-    return "prose"
-
-
-def items_of(line: str) -> bool:
-    """After a label only short items parted by commas."""
-    parts = [p for p in line.split(":", 1)[1].split(",") if p.strip()]
-    return bool(parts) and all(len(p.split()) <= 6 for p in parts) and common_share(WORD.findall(line), line) < 0.4 and sum(len(p.split()) for p in parts) / len(parts) <= 4.5
-
-
-#: Names of the numbers that statistics() gives, in order.
+#: Marks.
+ENDS = ".!?…。！？｡।॥።፧؟;:"
+STOPS = ".!?…。！？｡।॥።፧؟"
+CLOSERS = "\"'”’»)]」』）"
+BULLETS = "-–—*•‣◦·+>→⇒▪■□☐☑☒✓✔✗✘○●◯"
+TICKS = "•‣◦▪■□☐☑☒✓✔✗✘○●◯→⇒"
+SEPARATORS = ",;·•|/、，"
+DAMAGE = "#$%&@^~|*=+_{}\\§¤¬¦�"
+BROKEN = "¡¢£¤¥¦§¨©ª¬®¯±²³´µ¶¸¹º¼½¾ÂÃ€™�ðŸ"
+NEWLINES = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+
+BLANK, NEWLINE, LETTER, MARK, DIGIT, OTHER = range(6)
+#: Names of the figures of a document, in order.
 NAMES = (
-    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "share_lines_punctuated", "share_common_words", "mean_words_per_line",
-    "share_distinct_words", "share_repeated_segments", "share_table", "share_list", "share_junk", "share_prose", "share_mojibake", "share_single_letters", "longest_token",
-)
-
-
-def statistics(text: str) -> list[float]:
-    """The numbers of NAMES for a text that isn't blank."""
-    lines = [x for x in re.split(r"[\r\n\x0b\x0c  ]+", text) if x.strip()] or [text]
-    words = WORD.findall(text)
-    visible = sum(not c.isspace() for c in text) or 1
-    letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in text)
-    kinds = []
-    cells = [columns(x) for x in lines]
-    for i, line in enumerate(lines):
-        near = [cells[j] for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(lines)]
-        mark, n = cells[i]
-        loose = mark in ("  ", "rule", "|")
-        if n >= 3 and any(m and (m == mark or "rule" in (m, mark)) and (k == n or loose) for m, k in near) and not (mark in ("|",) and _furniture(line)):
-            kinds.append("table")
+    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "share_lines_punctuated", "share_common_words", "mean_words_per_line", "share_distinct_words",
+    "words_per_segment", "share_stops", "share_repeated_segments", "share_aligned_lines", "share_marked_lines", "share_short_lines", "share_dotted",
+    "share_damaged_words", "share_leading_marks", "share_drawn_out", "share_single_letters", "share_bracketed", "share_furniture", "share_broken_characters",
+    "share_coded_words", "longest_token",
+)
+
+
+def _weights() -> np.ndarray:
+    return np.random.default_rng(17).integers(1, 1 << 63, 32, dtype=np.uint64) | np.uint64(1)
+
+
+@functools.cache
+def _tables() -> dict[str, np.ndarray]:
+    """By code point below 65,536: class, lower case and membership of the sets above; the last entry stands for all others."""
+    n = 1 << 16
+    kind = np.full(n + 2, OTHER, np.uint8)
+    low = np.arange(n + 2, dtype=np.uint32)
+    for i in range(n):
+        ch = chr(i)
+        if ch in NEWLINES:
+            kind[i] = NEWLINE
+        elif ch.isspace():
+            kind[i] = BLANK
         else:
-            kinds.append(line_kind(line))
-    # Short lines and lines without common words are items of a list among their like, else part of the prose or junk around.
-    sizes = [len(x.strip()) for x in lines]
-    weigh = Counter()
-    for k, s in zip(kinds, sizes):
-        weigh[k] += s
-    n_short = kinds.count("short")
-    alike = sum(k in ("short", "list") for k in kinds)
-    short_as = "list" if n_short >= 3 and alike >= 0.6 * len(kinds) or weigh["list"] >= weigh["prose"] and n_short >= 1 and weigh["list"] else ("table" if weigh["table"] > weigh["prose"] else "prose")
-    if short_as == "list" and weigh["table"] > weigh["list"] + weigh["short"]:
-        short_as = "table"
-    if not unpunctuated_odd(lines, kinds):
-        weigh["prose"] += weigh.pop("odd", 0)
-    odd_as = "junk" if not words or weigh["list"] + weigh["table"] <= weigh["odd"] else ("list" if weigh["list"] >= weigh["table"] else "table")
-    weigh[short_as] += weigh.pop("short", 0)
-    weigh[odd_as] += weigh.pop("odd", 0)
-    total = sum(sizes) or 1
-    segments = [s.strip().lower() for s in re.split(r"[.!?…。！？।።፧؟\n|]+", text) if s.strip()]
-    # How far the three commonest segments make up the text: 0 if nothing comes twice, 1 if there is nothing else.
+            kind[i] = {"L": LETTER, "M": MARK, "N": DIGIT}.get(unicodedata.category(ch)[0], OTHER)
+        x = ch.lower()
+        if len(x) == 1:
+            low[i] = ord(x)
+    kind[n] = LETTER
+    sets = {}
+    for name, chars in (("ends", ENDS), ("stops", STOPS), ("closers", CLOSERS), ("bullets", BULLETS), ("ticks", TICKS), ("separators", SEPARATORS), ("damage", DAMAGE), ("broken", BROKEN), ("common", COMMON_CHARS), ("joins", "'’-‐‑")):
+        sets[name] = np.zeros(n + 2, bool)
+        sets[name][[ord(c) for c in chars if ord(c) < n]] = True
+    codes = np.arange(n + 2)
+    sets["cjk"] = ((codes >= 0x3040) & (codes <= 0x30FF)) | ((codes >= 0x3400) & (codes <= 0x9FFF)) | ((codes >= 0xF900) & (codes <= 0xFAFF))
+    sets["thai"] = (codes >= 0x0E00) & (codes <= 0x0E7F)
+    r = _weights()
+    word = lambda w: int(sum((int(low[ord(c)]) * int(r[min(i, 31)]) for i, c in enumerate(w)), 0) % (1 << 64))
+    triple = lambda t: (ord(t[0]) << 42) | (ord(t[1]) << 21) | ord(t[2])
+    return sets | {
+        "kind": kind, "low": low, "common_words": np.sort(np.array([word(w) for w in COMMON_WORDS], np.uint64)), "furniture": np.sort(np.array([word(w) for w in FURNITURE], np.uint64)),
+        "thai_triples": np.sort(np.array([triple(t) for t in THAI_TRIPLES], np.int64)),
+    }
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values
+
+
+def _sums(flags: np.ndarray) -> np.ndarray:
+    """Running sums that begin with 0."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
+def repeated(text: str) -> float:
+    """How far the three commonest segments make up the text: 0 if nothing comes twice, 1 if there is nothing else."""
+    segments = [s for x in re.split(r"[.!?…。！？।።፧؟\n|]+", text.lower()) if (s := x.strip())]
+    if len(segments) < 5:
+        return 0.0
     top = Counter(segments).most_common(3)
-    repeated = (sum(c for _, c in top) - len(top)) / (len(segments) - len(top)) if len(segments) >= 5 and len(segments) > len(top) else 0.0
-    tokens = text.split()
-    low = [w.lower() for w in words]
-    return [
-        float(len(words)), letters / max(1, len(words)), 1 - (letters + digits) / visible if letters + digits <= visible else 0.0, digits / visible,
-        sum(bool(END.search(x)) for x in lines) / len(lines), common_share(words, text), len(words) / len(lines),
-        len(set(low)) / max(1, len(low)), repeated,
-        weigh["table"] / total, weigh["list"] / total, weigh["junk"] / total, weigh["prose"] / total,
-        len(MOJIBAKE.findall(text)) / max(1, len(words)), sum(len(t) == 1 for t in tokens) / max(1, len(tokens)), float(max(map(len, tokens), default=0)),
-    ]
-
-
-def unpunctuated_odd(lines: list[str], kinds: list[str]) -> bool:
-    """Whether the lines without common words are more than one or a small part, so that chance doesn't explain them."""
-    size = sum(len(x) for x, k in zip(lines, kinds) if k == "odd")
-    return size > 120 or not any(k == "odd" and END.search(x) and x.strip()[0].isupper() for x, k in zip(lines, kinds))
-
-
-def _furniture(line: str) -> bool:
-    words = WORD.findall(line)
-    return bool(words) and sum(w.lower() in FURNITURE for w in words) >= 0.75 * len(words)
+    return (sum(c for _, c in top) - len(top)) / (len(segments) - len(top)) if len(segments) > len(top) else 0.0
+
+
+def statistics(texts: list[str]) -> np.ndarray:
+    """A row of the numbers of NAMES for each text; texts aren't blank. Shares of lines are of their characters."""
+    t = _tables()
+    joined = "\n".join(texts) + "\n"
+    wide = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    c = np.where(wide < 65536, wide, np.where(wide < 0x1F000, 65536, 65537)).astype(np.uint32)
+    begin = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in texts], out=begin[1:])
+    kind = t["kind"][c]
+    visible = kind > NEWLINE
+    n_visible = _sums(visible)
+    of_doc = lambda s: s[begin[1:]] - s[begin[:-1]]  # noqa: E731  a running sum over characters, by document
+    chars = np.maximum(of_doc(n_visible), 1).astype(float)
+    letter = (kind == LETTER) | (kind == MARK)
+    digit = kind == DIGIT
+    after = lambda x: np.concatenate([x[1:], x[:1]])
+    before = lambda x: np.concatenate([x[-1:], x[:-1]])
+
+    # Tokens: runs between blanks.
+    ts = np.flatnonzero(visible & ~before(visible))
+    te = np.flatnonzero(visible & ~after(visible)) + 1
+    doc_tokens = np.searchsorted(ts, begin)
+    by_doc = lambda flags: (s := _sums(flags))[doc_tokens[1:]] - s[doc_tokens[:-1]]  # noqa: E731  tokens, by document
+    tokens = np.maximum(np.diff(doc_tokens), 1).astype(float)
+    n_letter, n_digit = _sums(letter), _sums(digit)
+    length, t_letters, t_digits = te - ts, n_letter[te] - n_letter[ts], n_digit[te] - n_digit[ts]
+    first, last = c[ts], c[te - 1]
+
+    # Words: runs of letters with inner apostrophes or hyphens; characters of unspaced scripts are counted on their own.
+    cjk, thai = t["cjk"][c] & letter, t["thai"][c] & visible
+    spaced = letter & ~cjk & ~thai
+    part = spaced | (t["joins"][c] & before(spaced) & after(spaced))
+    ws = np.flatnonzero(part & ~before(part))
+    we = np.flatnonzero(part & ~after(part)) + 1
+    at = np.flatnonzero(part)
+    place = np.minimum(at - np.repeat(ws, we - ws), 31)
+    plain = np.where(c[at] == ord("’"), ord("'"), t["low"][c[at]]).astype(np.uint64)
+    hashes = np.add.reduceat(plain * _weights()[place], np.cumsum(we - ws) - (we - ws)) if len(ws) else np.zeros(0, np.uint64)
+    doc_words = np.searchsorted(ws, begin)
+    by_word = lambda flags: (s := _sums(flags))[doc_words[1:]] - s[doc_words[:-1]]
+    n_spaced_words = np.diff(doc_words)
+    n_cjk, n_thai, n_spaced = of_doc(_sums(cjk)), of_doc(_sums(thai)), of_doc(_sums(spaced))
+    words = n_spaced_words + n_cjk / 2 + n_thai / 4
+    some = np.maximum(words, 1)
+    triple = (c.astype(np.int64) << 42) | (after(c).astype(np.int64) << 21) | after(after(c)).astype(np.int64)
+    hits = np.zeros(len(c), bool)
+    in_thai = np.flatnonzero(thai)
+    hits[in_thai] = _within(triple[in_thai], t["thai_triples"])
+    common_spaced = by_word(_within(hashes, t["common_words"])) / np.maximum(n_spaced_words, 1)
+    common_cjk = np.minimum(1, 1.3 * of_doc(_sums(t["common"][c] & cjk)) / np.maximum(n_cjk, 1))
+    common_thai = np.minimum(1, 8 * of_doc(_sums(hits)) / np.maximum(n_thai, 1))
+    common = (common_spaced * n_spaced + common_cjk * n_cjk + common_thai * n_thai) / np.maximum(n_spaced + n_cjk + n_thai, 1)
+    distinct = np.array([len(np.unique(hashes[a:b])) / max(1, b - a) for a, b in zip(doc_words[:-1], doc_words[1:])])
+
+    # Lines that hold anything.
+    ls = np.concatenate([[0], np.flatnonzero(kind == NEWLINE)[:-1] + 1])
+    line_tokens = np.searchsorted(ts, np.concatenate([ls, [len(c)]]))
+    full = np.diff(line_tokens) > 0
+    f, e = line_tokens[:-1][full], line_tokens[1:][full]  # first token and the one after the last
+    l_begin, l_end = ts[f], te[e - 1]
+    size = (n_visible[l_end] - n_visible[l_begin]).astype(float)
+    doc_lines = np.searchsorted(l_begin, begin)
+    per_doc = lambda v: (s := np.concatenate([[0.0], np.cumsum(v)]))[doc_lines[1:]] - s[doc_lines[:-1]]  # noqa: E731  lines, by document
+    lines = np.maximum(np.diff(doc_lines), 1).astype(float)
+    end = l_end - 1
+    for _ in range(2):
+        end = np.where(t["closers"][c[end]] & (end > l_begin), end - 1, end)
+    thai_end = np.zeros(len(end), bool)
+    for mark in THAI_ENDS:
+        match = end - len(mark) + 1 >= l_begin
+        for i, ch in enumerate(mark):
+            match &= c[np.maximum(end - len(mark) + 1 + i, 0)] == ord(ch)
+        thai_end |= match
+    ended = t["ends"][c[end]] | thai_end
+    n_cjk_s, n_thai_s, w_s = _sums(cjk), _sums(thai), np.searchsorted(ws, np.concatenate([l_begin, l_end]))
+    l_words = w_s[len(l_begin) :] - w_s[: len(l_begin)] + (n_cjk_s[l_end] - n_cjk_s[l_begin]) / 2 + (n_thai_s[l_end] - n_thai_s[l_begin]) / 4
+    # A mark before the line: a bullet, a tick box, a number or a letter with a full stop or bracket.
+    f_len, f_first, f_last = length[f], first[f], last[f]
+    closing = (f_last == ord(".")) | (f_last == ord(")")) | (f_last == ord(":"))
+    opening = (f_first == ord("(")).astype(int)
+    numbered = closing & (t_digits[f] > 0) & (t_digits[f] + 1 + opening == f_len) & (f_len <= 6)
+    lettered = closing & (t_letters[f] > 0) & (t_letters[f] + 1 + opening == f_len) & (f_len <= 3) & (f_last != ord(":"))
+    dots = _sums(c == ord("."))
+    nested = (t_digits[f] >= 2) & (dots[te[f]] - dots[ts[f]] >= 1) & (t_digits[f] + dots[te[f]] - dots[ts[f]] == f_len) & (f_len <= 8)
+    box = (f_first == ord("[")) & ((f_len == 1) | (f_len == 3) & (f_last == ord("]")))
+    alone = (e - f) > 1
+    marked = alone & (t["bullets"][f_first] & (f_len == 1) | numbered | lettered | nested | box | (f_first == ord("x")) & (f_len == 1)) | t["ticks"][f_first] & (l_words > 0)
+    # Lines aligned with a neighbour: as many separators of one kind.
+    next_visible = after(visible)
+    counts = [
+        c == ord("|"), c == ord("\t"), (c == ord(";")) & next_visible, (c == ord(",")) & next_visible & (after(c) != ord(" ")), c == ord("<"),
+        ~visible & (kind == BLANK) & before(~visible) & after(visible) & (before(kind) != NEWLINE),
+    ]
+    owner = np.repeat(np.arange(len(texts)), np.diff(doc_lines))
+    aligned = np.zeros(len(size), bool)
+    for i, flags in enumerate(counts):
+        s = _sums(flags)
+        n = s[l_end] - s[l_begin]
+        same = (n[1:] == n[:-1]) & (owner[1:] == owner[:-1]) if i < 5 else (np.minimum(n[1:], n[:-1]) >= 2) & (owner[1:] == owner[:-1])
+        near = np.zeros(len(n), bool)
+        near[1:] |= same
+        near[:-1] |= same
+        aligned |= near & (n >= 2)
+    short = ~ended & (l_words <= 8) & ~aligned
+
+    stops = t["stops"][c] & (~t["stops"][after(c)]) & (~next_visible | t["closers"][after(c)] | cjk | after(cjk) | (c > 0x3000))
+    n_stops = of_doc(_sums(stops))
+    separated = t["separators"][c] & (~next_visible | (c > 0x3000))
+    boundaries = n_stops + of_doc(_sums(separated)) + lines
+    around = before(letter) | after(letter)
+    damage = t["damage"][c] & around | digit & (before(spaced) | after(spaced)) & ~t["joins"][before(c)] | (c == ord(";")) & before(letter) & after(letter)
+    damage_s = _sums(damage)
+    damaged = (damage_s[te] - damage_s[ts] > 0) & (t_letters > 0)
+    leading = (length > 1) & (t["ends"][first] | (first == ord(","))) & letter[np.minimum(ts + 1, len(c) - 1)] & ~t["cjk"][c[np.minimum(ts + 1, len(c) - 1)]]
+    drawn = (c == before(c)) & (c == before(before(c)))
+    one = (length == 1) & (t_letters == 1) & ~t["cjk"][first]
+    bracketed = ((first == ord("[")) | (first == ord("(")) | (first == ord("{"))) & ((last == ord("]")) | (last == ord(")")) | (last == ord("}")))
+    coded = (t_letters > 0) & (t_digits > 0)
+    unspaced_token = (lambda s: s[te] - s[ts] > 0)(_sums(cjk | thai))
+    long = np.zeros(len(texts))
+    np.maximum.at(long, np.repeat(np.arange(len(texts)), np.diff(doc_tokens)), np.where(unspaced_token, 0, length))
+    letters, digits = of_doc(n_letter), of_doc(n_digit)
+    return np.column_stack(
+        [
+            words, n_spaced / np.maximum(n_spaced_words, 1), np.maximum(0, chars - letters - digits) / chars, digits / chars, per_doc(size * ended) / chars, common, words / lines, distinct,
+            words / boundaries, n_stops / boundaries, [repeated(x) for x in texts], per_doc(size * aligned) / chars, per_doc(size * marked) / chars, per_doc(size * short) / chars, of_doc(_sums(drawn & (c == ord(".")))) / chars,
+            by_doc(damaged) / tokens, by_doc(leading) / tokens, of_doc(_sums(drawn & letter)) / chars, by_doc(one) / tokens, by_doc(bracketed) / tokens, by_word(_within(hashes, t["furniture"])) / some, of_doc(_sums(t["broken"][c])) / chars,
+            by_doc(coded) / tokens, long,
+        ]
+    ).astype(float)
