@@ -6,12 +6,11 @@ Every mark that may end a sentence is judged by unambiguous occurrences elsewher
   full stop before a digit or a comma is one; a word capitalised within a sentence and nowhere written small is a name,
   before which an abbreviation goes on, unless it is one that mostly closes a phrase (CLOSING);
 * in the corpus, where the document has nothing: the same counts over all texts, gathered in one pass that leaves one
-  row a word and block. What is kept is all short words nearly always followed by a full stop that mostly doesn't end a
-  sentence, and all words that begin sentences. Beyond MODEL_WORDS of the latter, those that stand nowhere after a closing
-  mark are left out: only there are they asked for;
+  row a word and block. What is kept is all words of at most LONGEST letters nearly always followed by a full stop that mostly
+  doesn't end a sentence, and all words that begin sentences and stand after a closing mark, where they are asked for;
 * by script: ideographic, Devanagari, Ethiopic and Arabic marks, the Greek question mark, Thai polite particles.
 
-Marks inside a quotation or bracket don't end the sentence around it. A quotation that opens a sentence is followed by
+Marks inside a quotation or bracket, of any length within its paragraph, don't end the sentence around it. A quotation that opens a sentence is followed by
 whom it is ascribed to; one at the end of a sentence ends it if another begins after it.
 """
 
@@ -19,9 +18,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 
 from loomspeak.runtime import first_delivery, stage
 
-MODEL_WORDS = 20_000
+#: Letters of the longest abbreviation that the corpus may teach.
+LONGEST = 12
+#: Of a longer chain of letters and full stops only the end is looked at: neither an abbreviation nor a number is as long.
+LONG_FORM = 64
 
 #: Common abbreviations. TITLES stand before a name or number, so even a capital after them goes on.
 TITLES = frozenset(
@@ -76,6 +80,7 @@ _INV = re.compile(f"[{INVISIBLE}]")
 _NO_END = re.compile(r"(?<=[^\W\d_])\.(?:,|\s\d)")
 _INSIDE = re.compile(r"([^\W\d_])(?=,?[^\S\r\n]+([^\W\d_]+))")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_FIND = {"paragraph": re.compile(r"\n\s*\n"), "opening": re.compile(r"(?<!\w)'(?=\w)"), "closing": re.compile(r"(?<=[.!?,])'(?!\w)")}
 
 
 @dataclass(frozen=True)
@@ -94,6 +99,41 @@ class _Document:
     _bare: Counter | None = field(default=None)
     _abbreviated: set[str] | None = field(default=None)
     _names: set[str] | None = field(default=None)
+    _places: dict[str, list[int]] = field(default_factory=dict)
+    _seen: tuple[int, int] = (-2, -2)
+
+    def left(self, at: int) -> int:
+        """Where the word before `at` begins, inner full stops included; a word is walked through once, however many stops it has."""
+        text, j = self.text, at
+        while j > 0:
+            if j == self._seen[0] + 1 and text[j - 1] == ".":
+                j = self._seen[1]
+                break
+            c = text[j - 1]
+            if not (c.isalnum() or c == "." or c in INVISIBLE or unicodedata.combining(c) or unicodedata.category(c)[0] == "M"):
+                break
+            j -= 1
+        self._seen = (at, j)
+        while j < at and text[j] == ".":
+            j += 1
+        return j
+
+    def after(self, what: str, at: int) -> int:
+        """The first place at or beyond `at` of a mark or of what _FIND calls so; the text's length without one."""
+        if what not in self._places:
+            self._places[what] = [m.start() for m in (_FIND[what] if what in _FIND else re.compile(re.escape(what))).finditer(self.text)]
+        places = self._places[what]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else len(self.text)
+
+    def closes(self, mark: str, at: int) -> bool:
+        """Whether what the mark before `at` opens is closed: in the same paragraph, and a quotation before the next one opens."""
+        end = self.after("paragraph", at)
+        if mark == "'":
+            closing = self.after("closing", at)
+            return closing < end and closing < self.after("opening", at)
+        closing = min(self.after(x, at) for x in OPEN[mark])
+        return closing < end and (mark in BRACKETS or mark in OPEN[mark] or closing < self.after(mark, at))
 
     def bare(self, word: str) -> bool:
         """Stands elsewhere within a sentence without a full stop."""
@@ -105,7 +145,9 @@ class _Document:
         """Stands elsewhere with a full stop that ends nothing, before a comma or a number, and nowhere without."""
         if self._abbreviated is None:
             stops = (m.start() for m in _NO_END.finditer(self.text))
-            self._abbreviated = {_INV.sub("", self.text[_left(self.text, at) : at]) for at in stops}
+            self._seen = (-2, -2)
+            self._abbreviated = {_INV.sub("", self.text[max(self.left(at), at - LONG_FORM) : at]) for at in stops}
+            self._seen = (-2, -2)
         return word in self._abbreviated and not self.bare(word)
 
     def name(self, word: str) -> bool:
@@ -116,29 +158,16 @@ class _Document:
         return word in self._names
 
 
-def _left(text: str, at: int) -> int:
-    """Where the word before `at` begins, inner full stops included; at most 24 characters back."""
-    j, least = at, max(0, at - 24)
-    while j > least:
-        c = text[j - 1]
-        if not (c.isalnum() or c == "." or c in INVISIBLE or unicodedata.combining(c) or unicodedata.category(c)[0] == "M"):
-            break
-        j -= 1
-    while j < at and text[j] == ".":
-        j += 1
-    return j
-
-
 def _ends_with_stop(doc: _Document, text: str, at: int, nxt: int, model: Model) -> bool:
     """Whether the single full stop at `at` ends a sentence; text[nxt] is the next visible character."""
     c = text[nxt]
     if c in ",;:)]…" or (c in "-–—" and text[nxt + 1 : nxt + 2].isspace() is False and nxt == at + 1):
         return False
     gap = nxt > at + 1
-    first = _left(text, at)
+    first = doc.left(at)
     if first == at:
         return True  # after a bracket, a symbol
-    left = text[first:at]
+    left = text[max(first, at - LONG_FORM) : at]
     if not left.isascii():
         left = _INV.sub("", left)
     low = left.lower()
@@ -215,7 +244,7 @@ def _after_quote(text: str, nxt: int, bracket: bool, opened: bool, model: Model)
         return right in model.starters
     if right[0].isupper():
         if opened:
-            following = [w.lower() for w in re.findall(r"[^\W\d_]+", text[nxt : nxt + 40])[:3]]
+            following = [m.group().lower() for m in islice(_LETTERS.finditer(text, nxt), 3)]
             return not any(w in SAYING for w in following[1:])
         return not (bracket and right == "I")
     return right[0].isdigit() and not bracket  # scripts without case carry on
@@ -261,10 +290,7 @@ def split(text: str, model: Model = Model()) -> list[tuple[int, int]]:
             inner = -1
             continue
         if mark in OPEN and not (mark == '"' and s and not text[s - 1].isspace() and text[s - 1] not in "([（—–-" and text[s - 1].isascii() and text[s - 1] not in ".!?"):
-            closing = min((p for p in (text.find(x, e, e + 600) for x in OPEN[mark]) if p >= 0), default=-1)
-            if mark == "'" and not re.compile(r"[.!?,]'(?!\w)").search(text, e, e + 300):
-                closing = -1
-            if closing > 0:
+            if doc.closes(mark, e):
                 stack.append((mark, s, s == begin))
                 inner = -1
             continue
@@ -284,7 +310,7 @@ def split(text: str, model: Model = Model()) -> list[tuple[int, int]]:
         if e - s == 1 and mark == ".":
             if not text.startswith(tuple("0123456789"), e) and _ends_with_stop(doc, text, s, nxt, model):
                 cut(e)
-            elif text[e : e + 1].isdigit() and s and text[s - 1].isalpha() and s - _left(text, s) > 2:
+            elif text[e : e + 1].isdigit() and s and text[s - 1].isalpha() and s - doc.left(s) > 2:
                 cut(e)
         elif mark == "…" or text[s : s + 2] == "..":
             c = text[nxt]
@@ -306,7 +332,7 @@ def split(text: str, model: Model = Model()) -> list[tuple[int, int]]:
     return out
 
 
-_TOKEN = re.compile(r"([^\W\d_]{1,8}(?:\.[^\W\d_]{1,2})*)(\.(?!\.)\s*(\S)?)?")
+_TOKEN = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]{1,2})*)(\.(?!\.)\s*(\S)?)?")
 _START = re.compile(r"[.!?]\s+([^\W\d_]+)\s")
 _AFTER = re.compile(rf"[{re.escape(''.join(sorted(set(''.join(OPEN.values())))))}](?={_SKIP}({WORD.pattern}))")
 
@@ -354,13 +380,11 @@ def learn(texts: DataFrame, text_col: str) -> Model:
         .groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
     )
     words = stage(
-        counts.withColumn("abbreviation", (F.col("stop") >= 4) & (F.length("word") <= 6) & (F.col("bare") * 8 <= F.col("stop")) & (F.col("inside") * 2 >= F.col("stop")))
-        .withColumn("starter", F.col("start") >= 3)
-        .where("abbreviation OR starter").select("word", "abbreviation", "starter", "after"),
+        counts.withColumn("abbreviation", (F.col("stop") >= 4) & (F.length("word") <= LONGEST) & (F.col("bare") * 8 <= F.col("stop")) & (F.col("inside") * 2 >= F.col("stop")))
+        .withColumn("starter", (F.col("start") >= 3) & (F.col("after") > 0))  # asked only of words after a quotation
+        .where("abbreviation OR starter").select("word", "abbreviation", "starter"),
         "sentence-words",
     )
-    if words.where("starter").count() > MODEL_WORDS:
-        words = words.withColumn("starter", F.expr("starter AND after > 0")).where("abbreviation OR starter")
     rows = words.collect()
     return Model(frozenset(r.word for r in rows if r.abbreviation), frozenset(r.word for r in rows if r.starter))
 

@@ -78,19 +78,27 @@ def test_frame(spark):
 
 
 def test_model_is_learned_from_the_corpus(spark):
-    texts = ["It took blrg. 3 days. Then we left home.", "about blrg. two hours. Then rain fell.", "with blrg. four. Then he slept."] * 3
+    texts = ["It took blrg. 3 days. Then we left home.", "about blrg. two hours. Then rain fell.", "with blrg. four. Then he slept. “No.” then he left."] * 3
     model = S.learn(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     assert "blrg" in model.abbreviations and "then" in model.starters and "home" not in model.abbreviations
 
 
+def test_quotations_and_words_of_any_length():
+    for inner in (30, 60, 400):
+        text = "He said “" + "I saw it there. " * inner + "Now go” and left. Then it rained."
+        assert S.split(text) == [(0, text.index("Then it rained") - 1), (text.index("Then it rained"), len(text))]
+    assert len(S.split("He said “I saw it. Then it fell.\n\nA door opened. “Go” was all.")) == 4  # never closed in its paragraph
+    assert len(S.split("x" * 60_000 + ". " + "Then he left.")) == 2
+    assert S.split("a.b." * 20_000)
+
+
 def test_bare_uses_in_other_partitions_count(spark):
     texts = ["we saw the oar. 5 more came"] * 4 + ["we took an oar and left"] * 40
     df = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in texts], 11), "t string")
     assert "oar" not in S.learn(df, "t").abbreviations
 
 
-def test_the_model_is_not_cut(spark, monkeypatch):
-    monkeypatch.setattr(S, "MODEL_WORDS", 1)
+def test_the_model_is_not_cut(spark):
     texts = ["It took blrg. 3 days. Then we left home.", "with blrg. four. Some slept. He said “no.” some left."] * 3
     texts += ["with krtz. 4 men. Then it fell. Then it rose. Then it ended."] * 5
     model = S.learn(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
