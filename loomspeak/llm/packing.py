@@ -3,9 +3,10 @@
 A text larger than the capacity is cut: its full pieces fill containers of their own and the rest is an item like any other.
 Items are dealt by hash into shards of about SHARD_ITEMS, so that a task holds a bounded number of them. Within a shard
 items come one after another and each goes to the fill level that leaves the sum of squared numbers of windows at a level
-smallest, kept in an array by level: this keeps no level crowded, so later items find a level that they complete. What a
-shard leaves in windows filled below CLOSED is taken out again and packed, largest first, with what FAN shards leave, and so on
-until one shard is left or a round makes no difference.
+smallest, kept in an array by level: this keeps no level crowded, so later items find a level that they complete. What the
+shards leave in windows filled below CLOSED is taken out again, dealt into as few shards of SHARD_ITEMS as hold it, and packed
+largest first, and so on until one shard is left. Where a round leaves so much that the number of shards doesn't shrink, as with
+items that no others complete, its windows stay: another round would change nothing and no task may hold them all.
 """
 
 from __future__ import annotations
@@ -14,14 +15,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspeak.llm.tokens import VOCABULARY, token_sizes
 from loomspeak.runtime import stage
 
 SHARD_ITEMS = 20_000
-FAN = 16
 CLOSED = 0.97
 
 
@@ -106,37 +106,41 @@ def packed(df: DataFrame, containers: DataFrame, id_col: str, text_col: str, voc
     """
     spark = df.sparkSession
     sizes = stage(token_sizes(df, id_col, text_col, path=vocabulary), "token-sizes")
-    kinds = [(r.container, int(r.capacity_tokens)) for r in containers.select("container", "capacity_tokens").distinct().limit(1000).collect() if r.capacity_tokens and r.capacity_tokens > 0]
+    # The containers are settings, a few rows that make the plan.
+    kinds = [(r.container, int(r.capacity_tokens)) for r in containers.select("container", "capacity_tokens").distinct().collect() if r.capacity_tokens and r.capacity_tokens > 0]
     item = ITEM.format(id=dict(sizes.dtypes)["id"])
+    columns = [x.split()[0] for x in item.split(", ")]
     if not kinds:
         return spark.createDataFrame([], f"container string, window string, id {dict(sizes.dtypes)['id']}, piece long, first_token long, n_tokens long, fill long")
-    n = sizes.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).cast("long").alias("capacity")) for c, k in kinds])).alias("c")
-    pieces = sizes.select("id", "salt", "n_tokens", each).select("c.*", "id", "salt", F.col("n_tokens").alias("all"))
+    shards = {c: max(1, -(-sizes.count() // SHARD_ITEMS)) for c, _ in kinds}
+    each = F.explode(F.array(*[F.struct(F.lit(c).cast("string").alias("container"), F.lit(k).cast("long").alias("capacity"), F.lit(shards[c]).alias("shards")) for c, k in kinds])).alias("c")
+    pieces = sizes.select("id", "salt", F.col("n_tokens").alias("all"), each).select("c.*", "id", "salt", "all")
     cut = pieces.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("all") - 1) / F.col("capacity")).cast("long"))).alias("piece")
     ).select(
-        "container", "capacity", F.pmod("salt", F.lit(shards)).alias("shard"), "id", "salt", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"),
+        "container", "capacity", F.pmod("salt", F.col("shards").cast("long")).alias("shard"), "id", "salt", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"),
         F.least("capacity", F.col("all") - F.col("piece") * F.col("capacity")).alias("n_tokens"),
     )
+    alike = Window.partitionBy("container", "salt", "id", "piece").orderBy("first_token")  # rows equal in id and text
     whole = cut.where("n_tokens = capacity").select(
-        "container", F.concat_ws("-", F.lit("full"), F.hex("salt"), "piece", F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("window"), "id", "piece", "first_token", "n_tokens", F.col("capacity").alias("fill")
+        "container", F.concat_ws("-", F.lit("full"), F.hex("salt"), F.coalesce(F.col("id").cast("string"), F.lit("")), "piece", F.row_number().over(alike)).alias("window"),
+        "id", "piece", "first_token", "n_tokens", F.col("capacity").alias("fill"),
     )
     items = cut.where("n_tokens < capacity")
     kept, level = [whole], 0
     while True:
         done = stage(items.groupBy("container", "shard").applyInPandas(_round(level), item + ", window string, fill long"), "windows")
-        last = shards == 1 and level > 0
-        closed = done if last else done.where(F.col("fill") >= F.col("capacity") * F.lit(CLOSED))
-        kept.append(closed.select("container", "window", "id", "piece", "first_token", "n_tokens", "fill"))
-        if last:
+        open_ = F.col("fill") < F.col("capacity") * F.lit(CLOSED)
+        left = {r.container: r.n for r in done.where(open_).groupBy("container").agg(F.count("*").alias("n")).collect()}
+        following = {c: -(-left.get(c, 0) // SHARD_ITEMS) for c in shards}
+        again = {c: n for c, n in following.items() if n and (n < shards[c] or level == 0 and shards[c] == 1)}
+        onward = F.coalesce(*[F.when(F.col("container").eqNullSafe(c), n) for c, n in again.items()], F.lit(0))
+        moves = open_ & (onward > 0)
+        kept.append(done.where(~moves).select("container", "window", "id", "piece", "first_token", "n_tokens", "fill"))
+        if not again:
             break
-        shards = max(1, -(-shards // FAN))
-        items = done.where(F.col("fill") < F.col("capacity") * F.lit(CLOSED)).select(
-            *[c for c in done.columns if c not in ("shard", "window", "fill")], F.pmod("salt", F.lit(shards)).alias("shard")
-        ).select([x.split()[0] for x in item.split(", ")])
-        level += 1
+        items = done.where(moves).withColumn("shard", F.pmod("salt", onward).cast("long")).select(*columns)
+        shards, level = again, level + 1
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer runs without a blank are encoded in pieces of so many characters, so that no text takes quadratic time.
 RUN = 20_000
+_LONG = re.compile(rf"\S{{{RUN + 1},}}")
 
 
 @functools.cache
@@ -28,11 +30,16 @@ def encoding(path: str):
 
 
 def size(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of the whole text."""
+    """Tokens of the whole text; a run of more than RUN characters without a blank counts in pieces, the text around it as it is."""
     enc = encoding(path)
-    if len(text) <= RUN or max(map(len, text.split()), default=0) <= RUN:
+    if len(text) <= RUN:
         return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[i : i + RUN])) for i in range(0, len(text), RUN))
+    n, at = 0, 0
+    for m in _LONG.finditer(text):
+        begin = m.start() - (m.start() > at and text[m.start() - 1] == " ")  # a single blank belongs to the word after it
+        n += len(enc.encode_ordinary(text[at:begin])) + sum(len(enc.encode_ordinary(text[i : min(i + RUN, m.end())])) for i in range(begin, m.end(), RUN))
+        at = m.end()
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def token_sizes(df: DataFrame, id_col: str, text_col: str, more: tuple[str, ...] = (), path: str = VOCABULARY) -> DataFrame:

@@ -59,6 +59,30 @@ def test_every_token_once(spark, monkeypatch):
     assert report["s"].tokens == sum(map(sum, expected.values())) and report["s"].windows <= 1.1 * report["s"].least_windows + 1
 
 
+def test_equal_rows_above_the_capacity_have_windows_of_their_own(spark):
+    text = " ".join(["lamp"] * 40)
+    df, containers = table(spark, [(1, text), (1, text), (None, text)])
+    fills = defaultdict(int)
+    for r in P.packed(df, containers.where("container = 's'"), "doc_id", "text").collect():
+        fills[r.window] += r.n_tokens
+    assert max(fills.values()) <= 16 and sum(fills.values()) == 3 * size(text)
+
+
+def test_items_that_nothing_completes_stay_in_their_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ITEMS", 20)
+    seen = []
+    monkeypatch.setattr(P, "stage", lambda df, name, kept=P.stage: (seen.append(name), kept(df, name))[1])
+    df = spark.createDataFrame([(i, "a" + " a" * 9) for i in range(400)], "doc_id long, text string")
+    out = P.packed(df, spark.createDataFrame([("c", 16)], "container string, capacity_tokens int"), "doc_id", "text").collect()
+    assert len({r.window for r in out}) == 400 and seen.count("windows") == 1
+
+
+def test_more_than_a_thousand_containers(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    containers = spark.createDataFrame([(f"c{i}", 10 + i) for i in range(1001)], "container string, capacity_tokens int")
+    assert len({r.container for r in P.packed(df, containers, "doc_id", "text").collect()}) == 1001
+
+
 def test_empty(spark):
     df, containers = table(spark, [])
     assert P.packed(df, containers, "doc_id", "text").collect() == []
@@ -68,3 +92,6 @@ def test_empty(spark):
 
 def test_size_of_a_very_long_word():
     assert size("a" * 100_000) > 1000
+    around = "the lamp  was   out. " * 1500
+    run = "ab" * 10_001
+    assert len(run) == 20_002 and abs(size(around + run + " " + around) - 2 * size(around) - size(run[:20_000]) - size(run[20_000:])) <= 2
