@@ -19,9 +19,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mined templates of the raw fields with their counts and the worth of their time slots in seconds."""
-    rows = [(t["field"], " ".join(t["tokens"]), t["count"], list(t["reading"] or [])) for t in turns.mined(table(spark, sf_dir, "turns"))]
-    return spark.createDataFrame(rows, "field string, template string, lines long, slot_seconds array<int>")
+    """The mined templates of the raw fields with their counts: the worth of a time's slots in seconds, the place of a label's slot."""
+    people = turns.people_of(table(spark, sf_dir, "sessions"))
+    rows = [
+        (t["field"], " ".join(t["tokens"]), t["count"], len(t["shapes"]), list(t["slot"] or []) if t["field"] == "time" else None, t["slot"] if t["field"] == "speaker" else None)
+        for t in turns.mined(table(spark, sf_dir, "turns"), people)
+    ]
+    return spark.createDataFrame(rows, "field string, template string, lines long, shapes long, slot_seconds array<int>, label_slot int")
 
 
 def _long_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 Mining    Each raw field of a turn that has a layout (start, end, speaker label) is a line. Its tokens are masked: runs of
           digits are D, words W, marks stand for themselves. Executors fold lines to masked shapes and count them, so
-          that a few rows a field come to the driver: a shape has at most SHAPE_TOKENS tokens, the MAX_SHAPES most
-          frequent of a field are taken, the rest share the shape <*>. There a tree of fixed depth (field,
-          number of tokens, first tokens) leads a shape to its leaf; within a leaf it joins the most similar template, whose
-          differing tokens become <*>, or begins one.
-Inference The digits of a time template are slots of hours, minutes, seconds or fractions. Every reading that fits the
-          number of slots is tried on all rows of the template whose other time is in standard form; the reading that
-          agrees on most rows is the template's. Templates without such rows take the reading of most slots.
-          A label's slot is what is left of it without marks, or what it holds in parentheses; what is in the slot is
-          compared with the people of the file, whole, by id, by initial, by role, and with one edit.
+          that a few rows a field come to the driver: the MAX_SHAPES most frequent shapes of times and labels. There a
+          tree of fixed depth (field, number of tokens, first tokens) leads a shape to its leaf; within a leaf it joins the most
+          similar template with slots at the same places that doesn't contradict it, whose differing tokens become <*>, or
+          begins one. All other shapes share a template <*> by their number of slots.
+Inference The digits of a time shape are slots of hours, minutes, seconds or fractions. Every reading that fits the
+          number of slots is tried on all rows whose other time is in standard form; the one that agrees on most rows
+          is the shape's. A shape without such rows has that of the template it joins, or the one that most rows of as many
+          slots agree with. The parts of a label between brackets and other marks are its slots; the slot that most often
+          names a person of the row's file is the template's. What is in the slot is compared with the people of the file
+          by name, by id, by role, by initial, and with one edit; only where it says nothing are the other slots asked.
 Rules     Pieces are cut at labels of another person, pieces in which nothing is said vanish, repetitions go, rows are put
           into spoken order and runs of one person's pieces become turns, by windows over the file.
 """
@@ -19,18 +20,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspeak.runtime import first_delivery
+from loomspeak.runtime import first_delivery, stage
 
-SHAPE_TOKENS = 12
 MAX_SHAPES = 2000
+#: Files that the driver counts before it sends their people to all executors.
+SMALL_FILES = 300_000
 #: Tokens that lead to a leaf, children of a node before the wildcard takes over, and the share of equal tokens that joins.
-DEPTH, CHILDREN, SIMILAR = 2, 40, 0.7
+DEPTH, CHILDREN, SIMILAR = 2, 40, 0.5
 
 #: Words for the roles, in lower case without marks.
 ROLES = {
@@ -56,24 +59,28 @@ class TokenTree:
         self.root: dict = {}
         self.templates: list[dict] = []
 
-    def add(self, field: str, tokens: list[str], count: int) -> int:
-        """The number of the template that the tokens belong to from now on."""
+    def add(self, field: str, tokens: list[str], count: int, slot: object = None) -> int:
+        """The number of the template that the tokens belong to from now on; slot: what the shape's own rows say of it, or None."""
+        first = tokens[:DEPTH] if field == "speaker" else ["D" if t == "D" else "<*>" for t in tokens[:DEPTH]]
         node = self.root.setdefault(field, {}).setdefault(len(tokens), {})
-        for token in tokens[:DEPTH]:
+        for token in first:
             key = token if token in node or len(node) < CHILDREN else "<*>"
             node = node.setdefault(key, {})
         leaf = node.setdefault("templates", [])
+        variable = lambda ts: [t in "DW" for t in ts]
         alike = lambda i: sum(x == y for x, y in zip(self.templates[i]["tokens"], tokens)) / max(1, len(tokens))
-        marks = [t for t in tokens if t != "D"]
-        # Marks tell layouts of times apart, so a template is joined only by lines with the same slots.
-        fits = [i for i in leaf if alike(i) >= SIMILAR and [t == "D" for t in self.templates[i]["tokens"]] == [t == "D" for t in tokens] and (field == "speaker" or [t for t in self.templates[i]["tokens"] if t != "D"] == marks)]
+        fits = [
+            i for i in leaf
+            if alike(i) >= SIMILAR and variable(self.templates[i]["mask"]) == variable(tokens) and (slot is None or self.templates[i]["slot"] in (None, slot))
+        ]
         if fits:
             best = max(fits, key=alike)
             known = self.templates[best]
             known["tokens"] = [x if x == y else "<*>" for x, y in zip(known["tokens"], tokens)]
             known["count"] += count
+            known["slot"] = slot if known["slot"] is None else known["slot"]
             return best
-        self.templates.append({"field": field, "tokens": list(tokens), "count": count})
+        self.templates.append({"field": field, "tokens": list(tokens), "mask": list(tokens), "count": count, "slot": slot})
         leaf.append(len(self.templates) - 1)
         return len(self.templates) - 1
 
@@ -84,8 +91,21 @@ def _shape(c: Column) -> Column:
     text = F.regexp_replace(text, r"\d+", "D")
     text = F.regexp_replace(text, r"[\p{L}\p{M}&&[^D]]{2,}", "W")
     text = F.regexp_replace(text, r"(\S)", "$1 ")
-    tokens = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    return F.array_join(F.when(F.size(tokens) > SHAPE_TOKENS, F.concat(F.slice(tokens, 1, SHAPE_TOKENS), F.array(F.lit("<*>")))).otherwise(tokens), " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+_PART = re.compile(r"\d+|[^\W\d_]+|\S")
+_BETWEEN = re.compile(r"[()\[\]<>{}:：;,/|*#=]+")
+
+
+def label_shape(label: str) -> str:
+    """The masked tokens of a speaker label."""
+    return " ".join("D" if t[0].isdigit() else "W" if len(t) > 1 or t.isalpha() else t for t in _PART.findall(label.lower()))
+
+
+def label_slots(label: str) -> list[str]:
+    """The label whole, then its parts between brackets and other marks."""
+    return [label, *(p for p in map(str.strip, _BETWEEN.split(label)) if p)]
 
 
 def _reading(c: Column, weights: tuple[int, ...]) -> Column:
@@ -98,46 +118,85 @@ def _reading(c: Column, weights: tuple[int, ...]) -> Column:
     return total
 
 
-def mined(turns: DataFrame) -> list[dict]:
-    """Templates of the fields start, end and speaker: {field, tokens, count, shapes, reading}; reading only of times."""
+TRIED = [w for n in READINGS for w in READINGS[n]]
+
+
+def _time_shapes(turns: DataFrame) -> DataFrame:
+    """(shape, slots, n, r0, r1, …): the shapes of both times, and on how many rows each of TRIED agrees with the other time."""
     std = lambda c: F.when(F.trim(c).rlike(STANDARD), _reading(F.trim(c), (3600, 60, 1)))
-    none = F.lit(None).cast("long")
-    line = lambda field, x, other: F.struct(F.lit(field).alias("field"), F.col(x).alias("x"), other.alias("other"))
-    lines = turns.select(
-        F.inline(F.array(line("time", "start", std(F.col("end"))), line("time", "end", std(F.col("start"))), line("speaker", "speaker", none)))
-    ).where("x IS NOT NULL AND trim(x) <> ''")
-    slots = F.when(F.col("field") == "time", F.regexp_count("x", F.lit(r"\d+"))).otherwise(0)
-    tried = [w for n in READINGS for w in READINGS[n]]
-    agree = [
-        F.count_if((F.col("slots") == len(w)) & (F.abs(_reading(F.col("x"), w) - F.col("other")) <= 120)).alias(f"r{i}") for i, w in enumerate(tried)
-    ]
-    shapes = (
-        lines.withColumn("shape", _shape(F.col("x"))).withColumn("slots", slots)
-        .groupBy("field", "shape", "slots").agg(F.count("*").alias("n"), *agree)
+    line = lambda x, other: F.struct(F.col(x).alias("x"), other.alias("other"))
+    lines = turns.select(F.inline(F.array(line("start", std(F.col("end"))), line("end", std(F.col("start")))))).where("x IS NOT NULL AND trim(x) <> ''")
+    slots = F.regexp_count("x", F.lit(r"\d+"))
+    agree = [F.count_if((F.col("slots") == len(w)) & (F.abs(_reading(F.col("x"), w) - F.col("other")) <= 120)).alias(f"r{i}") for i, w in enumerate(TRIED)]
+    return lines.select(_shape(F.col("x")).alias("shape"), slots.alias("slots"), "x", "other").groupBy("shape", "slots").agg(F.count("*").alias("n"), *agree)
+
+
+def people_of(sessions: DataFrame) -> DataFrame:
+    """(file, who): the people of every file, sent to all executors if they are counted to be at most SMALL_FILES files."""
+    people = first_delivery(sessions.select("file", "participant_id", "interviewer", "observer"), ["file"], ["interviewer"]).select(
+        "file", F.struct("participant_id", "interviewer", "observer").alias("who")
     )
-    ranked = shapes.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "shape")))
-    tree, held = TokenTree(), {}
-    for row in ranked.where(F.col("place") <= MAX_SHAPES).orderBy("field", "place").collect():
-        t = tree.add(row.field, row.shape.split(" "), row.n)
-        entry = held.setdefault(t, {"shapes": [], "votes": [0] * len(tried), "slots": row.slots})
-        entry["shapes"].append(row.shape)
-        entry["votes"] = [v + row[f"r{i}"] for i, v in enumerate(entry["votes"])]
-    out = []
-    for i, template in enumerate(tree.templates):
-        fits = [(held[i]["votes"][k], -k, w) for k, w in enumerate(tried) if template["field"] == "time" and len(w) == held[i]["slots"]]
-        out.append(template | {"shapes": held[i]["shapes"], "reading": max(fits)[2] if fits else None})
-    return out
+    return F.broadcast(people) if sessions.count() <= SMALL_FILES else people
+
 
+def _label_shapes(turns: DataFrame, people: DataFrame) -> DataFrame:
+    """(shape, n, slot, votes): the shapes of the labels, and on how many rows a slot names a person of the file."""
+    labels = turns.where("speaker IS NOT NULL AND trim(speaker) <> ''").groupBy("file", "speaker").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        votes: Counter = Counter()
+        for batch in batches:
+            for label, n, who in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                shape, people = label_shape(label), People.of_file(who)
+                total[shape] += n
+                for k, part in enumerate(label_slots(label)):
+                    if people.exact(part):
+                        votes[shape, k] += n
+        rows = [(shape, n, -1, 0) for shape, n in total.items()] + [(shape, 0, k, n) for (shape, k), n in votes.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.int64(), pa.int32(), pa.int64()))], names=["shape", "n", "slot", "votes"])
+
+    counted = labels.join(people, "file", "left").select("speaker", "n", "who").mapInArrow(run, "shape string, n long, slot int, votes long")
+    return (
+        counted.groupBy("shape", "slot").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
+        .groupBy("shape").agg(F.sum("n").alias("n"), F.max_by(F.when(F.col("votes") > 0, F.col("slot")), F.struct("votes", (-F.col("slot")).alias("slot"))).alias("slot"))
+    )
 
-def time_templates(turns: DataFrame) -> dict[str, tuple[int, ...]]:
-    """shape -> worth of its slots, by the templates of both time fields."""
-    return {shape: t["reading"] for t in mined(turns) if t["reading"] for shape in t["shapes"]}
 
+def mined(turns: DataFrame, people: DataFrame) -> list[dict]:
+    """Templates of the fields time and speaker: {field, tokens, count, shapes, slot}.
 
-def _start_seconds(c: Column, templates: dict[str, tuple[int, ...]]) -> Column:
-    shape, out = _shape(c), F.lit(None).cast("long")
-    for weights in set(templates.values()):
-        out = F.when(shape.isin([t for t, w in templates.items() if w == weights]), _reading(c, weights)).otherwise(out)
+    slot is the worth of a time's slots in seconds, or the place of a label's slot among label_slots. The last templates, of the
+    token <*> and without shapes, stand for all times of some number of slots beyond the most frequent shapes.
+    """
+    tree, held = TokenTree(), {}
+    shapes = stage(_time_shapes(turns), "time-shapes")
+    best = lambda row: max(((row[f"r{i}"], -i, w) for i, w in enumerate(TRIED) if len(w) == row.slots), default=(0, 0, None))
+    for row in shapes.orderBy(F.desc("n"), "shape").limit(MAX_SHAPES).collect():
+        votes, _, reading = best(row)
+        t = tree.add("time", row["shape"].split(" "), row.n, reading if votes else None)
+        held.setdefault(t, []).append(row["shape"])
+    for row in _label_shapes(turns, people).orderBy(F.desc("n"), "shape").limit(MAX_SHAPES).collect():
+        t = tree.add("speaker", row["shape"].split(" "), row.n, row.slot)
+        held.setdefault(t, []).append(row["shape"])
+    rest = {r.slots: best(r)[2] for r in shapes.groupBy("slots").agg(F.sum("n").alias("n"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(TRIED))]).where(F.col("slots") <= max(READINGS)).collect()}
+    out = [t | {"shapes": held[i], "slot": t["slot"] or (rest.get(t["mask"].count("D")) if t["field"] == "time" else t["slot"])} for i, t in enumerate(tree.templates)]
+    return out + [{"field": "time", "tokens": ["<*>"], "mask": ["D"] * n, "count": 0, "shapes": [], "slot": w} for n, w in sorted(rest.items()) if w]
+
+
+def _start_seconds(c: Column, templates: list[dict]) -> Column:
+    """Whole seconds of a time by its shape's template, or, beyond the mined shapes, by its number of slots."""
+    times = [t for t in templates if t["field"] == "time" and t["slot"]]
+    shape, slots, out = _shape(c), F.regexp_count(c, F.lit(r"\d+")), F.lit(None).cast("long")
+    for t in times:
+        if not t["shapes"]:
+            out = F.when(slots == len(t["slot"]), _reading(c, t["slot"])).otherwise(out)
+    by_slot: dict[tuple, list[str]] = {}
+    for t in times:
+        by_slot.setdefault(t["slot"], []).extend(t["shapes"])
+    for weights, known in by_slot.items():
+        if known:
+            out = F.when(shape.isin(known), _reading(c, weights)).otherwise(out)
     return out
 
 
@@ -167,37 +226,63 @@ def _near(a: str, b: str) -> bool:
 class People:
     """The people of one file and the spellings of their labels."""
 
-    def __init__(self, participant: str | None, interviewer: str | None, observer: str | None):
+    def __init__(self, participant: str | None, interviewer: str | None, observer: str | None, slots: dict[str, int] | None = None):
+        self.slots = slots or {}
         self.number = _digits(_fold(participant or ""))
         self.id = _fold(participant or "")
         self.names = {role: _fold(n) for role, n in (("interviewer", interviewer), ("observer", observer)) if n and _fold(n)}
-        self.known: dict[str, str | None] = {}
+        self.known: dict[object, str | None] = {}
+
+    @classmethod
+    def of_file(cls, who: dict | None, slots: dict[str, int] | None = None) -> People:
+        who = who or {}
+        return cls(who.get("participant_id"), who.get("interviewer"), who.get("observer"), slots)
+
+    def exact(self, part: str) -> str | None:
+        """The person that a part of a label names by name, id or role word."""
+        x = _fold(part)
+        if not x:
+            return None
+        for role, name in self.names.items():
+            if x == name:
+                return role
+        if x == self.id or (self.number and _digits(x) == self.number):
+            return "participant"
+        if x in ROLES:
+            role = ROLES[x]
+            if len(x) > 1 or role == "participant" or x != "o" or role in self.names:
+                return role
+        return None
 
     def of(self, label: str | None) -> str | None:
-        """The person a label names in any spelling, or None."""
+        """The person that the field of a row names in any spelling, or None: by the slot of its layout, then by the others."""
         if not label:
             return None
-        if label not in self.known:
+        if label in self.known:
+            return self.known[label]
+        parts = label_slots(label)
+        slot = self.slots.get(label_shape(label), 0)
+        return self._kept(label, [parts[slot], *parts[:slot], *parts[slot + 1 :]] if slot < len(parts) else parts)
+
+    def within(self, label: str) -> str | None:
+        """The person that a label within a text names: whole, without or by what it holds in parentheses."""
+        if (label,) in self.known:
+            return self.known[(label,)]
+        return self._kept((label,), [label, re.sub(r"\(.*\)", "", label), *re.findall(r"\(([^)]*)\)", label)])
+
+    def _kept(self, key: object, parts: list[str]) -> str | None:
+        if key not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            self.known[label] = self._of(label)
-        return self.known[label]
+            self.known[key] = self._of(parts)
+        return self.known[key]
 
-    def _of(self, label: str) -> str | None:
-        parts = [label, re.sub(r"\(.*\)", "", label), *re.findall(r"\(([^)]*)\)", label)]
+    def _of(self, parts: list[str]) -> str | None:
         for part in parts:
+            who = self.exact(part)
+            if who:
+                return who
             x = _fold(part)
-            if not x:
-                continue
-            for role, name in self.names.items():
-                if x == name:
-                    return role
-            if x == self.id or (self.number and _digits(x) == self.number):
-                return "participant"
-            if x in ROLES:
-                role = ROLES[x]
-                if len(x) > 1 or role == "participant" or x != "o" or role in self.names:
-                    return role
             if len(x) == 1:
                 for role, name in self.names.items():
                     if x == name[0]:
@@ -215,12 +300,18 @@ _INSIDE = re.compile(
 )
 
 
-def pieces(speaker: str | None, text: str | None, people: People) -> list[tuple[str, bool]]:
-    """(person, something is said) of the pieces of a row, cut at labels of another person."""
+#: What any label within a text needs.
+_MAY = re.compile(r"[:：\[<]|\s[-–—]\s")
+
+
+def pieces(speaker: str | None, text: str | None, people: People) -> tuple[list[tuple[str, bool]], int]:
+    """(person, something is said) of the pieces of a row, cut at labels of another person; and where the text begins after its label."""
     text = text or ""
     person = people.of(speaker)
+    if not _MAY.search(text):
+        return [(person or "unknown", said(text))], 0
     m = _OPENING.match(text)
-    label = people.of(m.group(1) or m.group(2) or m.group(3)) if m else None
+    label = people.within(m.group(1) or m.group(2) or m.group(3)) if m else None
     at = 0
     if label:
         at = m.end()
@@ -231,32 +322,33 @@ def pieces(speaker: str | None, text: str | None, people: People) -> list[tuple[
     if label and person != label:  # the row's label names one person, its text opens with another
         now = label
     for m in _INSIDE.finditer(text, at):
-        who = people.of(m.group(1) or m.group(2) or m.group(3))
+        who = people.within(m.group(1) or m.group(2) or m.group(3))
         if who and who != now:
             out.append((now, said(text[begin : m.start()])))
             now, begin = who, m.end()
         elif who:
             text = text[: m.start()] + " " * (m.end() - m.start()) + text[m.end() :]
     out.append((now, said(text[begin:])))
-    return out
+    return out, at
+
+
+_WORD = re.compile(r"[^\W_]+")
+_NOTED = re.compile(r"[(\[{<*♪]")
 
 
 def said(text: str) -> bool:
     """Whether any word is left without notes, hesitation sounds and marks."""
-    if not text or text.isspace():
-        return False
-    for word in re.findall(r"[^\W_]+", NOTE.sub(" ", text)):
-        if not HESITATION.fullmatch(word.lower()):
+    for m in _WORD.finditer(NOTE.sub(" ", text) if _NOTED.search(text) else text):
+        if not HESITATION.fullmatch(m.group().lower()):
             return True
     return False
 
 
 def row_pieces(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """(file, turn_idx, sec, person, words, pieces): every row of turns once, with its pieces and what makes it a repetition."""
-    templates = time_templates(turns)
-    people = first_delivery(sessions.select("file", "participant_id", "interviewer", "observer"), ["file"], ["interviewer"]).select(
-        "file", F.struct("participant_id", "interviewer", "observer").alias("who")
-    )
+    people = people_of(sessions)
+    templates = mined(turns, people)
+    slots = {shape: t["slot"] for t in templates if t["field"] == "speaker" and t["slot"] for shape in t["shapes"]}
     rows = first_delivery(turns.select("file", "turn_idx", "loaded_at", "start", "speaker", "text"), ["file", "turn_idx"], ["loaded_at"])
     joined = rows.join(people, "file", "left").select(
         "file", "turn_idx", _start_seconds(F.col("start"), templates).alias("sec"), "speaker", "text", "who"
@@ -265,20 +357,23 @@ def row_pieces(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        last, people = object(), None
+        met: dict[str | None, People] = {}
         for batch in batches:
-            who, marks, persons, cut = batch.column(5).to_pylist(), [], [], []
-            for file, speaker, text, w in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), who):
-                if file != last or people is None:
-                    last, people = file, People(**{k: (w or {}).get(v) for k, v in (("participant", "participant_id"), ("interviewer", "interviewer"), ("observer", "observer"))})
-                got = pieces(speaker, text, people)
-                m = _OPENING.match(text or "")
-                body = text[m.end() :] if m and people.of(m.group(1) or m.group(2) or m.group(3)) else text or ""
-                marks.append(xxh3_64_intdigest("".join(unicodedata.normalize("NFC", body).casefold().split())) - (1 << 63))
+            who, marks, persons, cut = batch.column(5), [], [], []
+            for i, (file, speaker, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                people = met.get(file)
+                if people is None:
+                    if len(met) > 2000:
+                        met.clear()
+                    people = met[file] = People.of_file(who[i].as_py(), slots)
+                got, at = pieces(speaker, text, people)
+                body = (text or "")[at:]
+                same = body.lower() if body.isascii() else (body if unicodedata.is_normalized("NFC", body) else unicodedata.normalize("NFC", body)).casefold()
+                marks.append(xxh3_64_intdigest("".join(same.split())) - (1 << 63))
                 persons.append(got[0][0])
                 cut.append([p for p, s in got if s])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(persons), pa.array(marks, pa.int64()), pa.array(cut, pa.list_(pa.string()))],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(persons, pa.string()), pa.array(marks, pa.int64()), pa.array(cut, pa.list_(pa.string()))],
                 names=["file", "turn_idx", "sec", "person", "words", "pieces"],
             )
 

@@ -29,12 +29,12 @@ def test_labels_in_any_spelling():
 
 def test_pieces_and_what_is_said():
     people = T.People("sub-p0100", "Dorvik", None)
-    assert T.pieces("sub-p0100", "It was cold. // Dorvik: And then?", people) == [("participant", True), ("interviewer", True)]
-    assert T.pieces("Dorvik", "Go on. [SUB-P0100] Yes.\nDORVIK: Good.", people) == [("interviewer", True), ("participant", True), ("interviewer", True)]
-    assert T.pieces(None, "<sub-p0100> Hello", people) == [("participant", True)]
-    assert T.pieces("", "Dorvik - Hello", people) == [("interviewer", True)]
-    assert T.pieces("sub-p0100", "Thank you, Dorvik told me: go on, please: now", people) == [("participant", True)]
-    assert T.pieces("???", None, people) == [("unknown", False)]
+    assert T.pieces("sub-p0100", "It was cold. // Dorvik: And then?", people)[0] == [("participant", True), ("interviewer", True)]
+    assert T.pieces("Dorvik", "Go on. [SUB-P0100] Yes.\nDORVIK: Good.", people)[0] == [("interviewer", True), ("participant", True), ("interviewer", True)]
+    assert T.pieces(None, "<sub-p0100> Hello", people)[0] == [("participant", True)]
+    assert T.pieces("", "Dorvik - Hello", people)[0] == [("interviewer", True)]
+    assert T.pieces("sub-p0100", "Thank you, Dorvik told me: go on, please: now", people)[0] == [("participant", True)]
+    assert T.pieces("???", None, people)[0] == [("unknown", False)]
     for text in ("Mhm...", "[laughs] (long pause)", "uh, Er ...", "♪ sighs ♪ *coughs*", "(laughs]", "– –", "", "  "):
         assert not T.said(text), text
     for text in ("okay", "(how do I say this?)", "um, yes", "好的。", "12"):
@@ -68,14 +68,40 @@ def test_times_are_read_by_their_template(spark):
     rows = [("f", i, f"{n // 60:02d}:{n % 60:02d}", t, "P", "x", AT, "c") for i, (t, n) in enumerate(std)]
     rows += [("f", 100 + i, f"{n // 3600:02d}h{n % 3600 // 60:02d}m{n % 60:02d}s", t, "P", "x", AT, "c") for i, (t, n) in enumerate(std)]
     rows += [("f", 200 + i, f"{n}.0s", t, "P", "x", AT, "c") for i, (t, n) in enumerate(std)]
-    templates = T.time_templates(spark.createDataFrame(rows, TURNS))
+    templates = slots(spark, rows)
     assert templates["D : D"] == (60, 1) and templates["D . D s"] == (1, 0) and templates["D : D : D"] == (3600, 60, 1)
     assert templates["D h D m D s"] == (3600, 60, 1)
 
 
+def slots(spark, rows, sessions=()):
+    people = T.people_of(spark.createDataFrame(list(sessions), SESSIONS))
+    return {shape: t["slot"] for t in T.mined(spark.createDataFrame(rows, TURNS), people) for shape in t["shapes"] or ["<*> of %d" % len(t["slot"])]}
+
+
+def test_a_rare_layout_takes_the_reading_of_its_template(spark):
+    rows = [("f", i, f"{i} m {i} s", f"00:{i:02d}:{i:02d}", "P", "x", AT, "c") for i in range(9)] + [("f", 50, "7 m 8 z", None, "P", "x", AT, "c")]
+    assert slots(spark, rows)["D m D z"] == (60, 1)
+
+
+def test_layouts_beyond_the_most_frequent_are_read_too(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_SHAPES", 1)
+    rows = [(0, "00:00:01", "00:00:02", "Dorvik", "one"), (1, "(00/00/09)", None, "sub-p0100", "two"), (2, "00:00:05", None, "Dorvik", "three"), (3, "00~30", "00:30:00", "P", "four")]
+    rows += [(4 + i, "00:02:00", "00:02:01", "Dorvik", f"w{i}") for i in range(5)]
+    assert found(spark, rows) == [(0, 2, "interviewer"), (1, 1, "participant"), (3, 3, "participant"), (4, 8, "interviewer")]
+
+
+def test_the_slot_of_a_label_is_inferred(spark):
+    sessions = [(f"f{i}", f"sub-p{i:04d}", "Dorvik", None, 1) for i in range(20)]
+    rows = [(f"f{i}", 0, None, None, f"mic / sub-p{i:04d}", "x", AT, "c") for i in range(20)] + [("f1", 1, None, None, "Dorvik", "x", AT, "c")]
+    found_slots = slots(spark, rows, sessions)
+    assert found_slots[T.label_shape("mic / sub-p0001")] == 2 and found_slots["W"] == 0
+
+
 def test_tree_joins_alike_and_keeps_slots_apart():
     tree = T.TokenTree()
     a = tree.add("speaker", "W - W a b c d".split(), 2)
     assert tree.add("speaker", "W - W a b c e".split(), 3) == a
-    assert tree.templates[a] == {"field": "speaker", "tokens": ["W", "-", "W", "a", "b", "c", "<*>"], "count": 5}
-    assert tree.add("time", "D : D : D".split(), 1) != tree.add("time", "D . D . D".split(), 1)
+    assert tree.templates[a]["tokens"] == ["W", "-", "W", "a", "b", "c", "<*>"] and tree.templates[a]["count"] == 5
+    b = tree.add("time", "D : D s".split(), 4, (60, 1))
+    assert tree.add("time", "D . D s".split(), 1, (1, 0)) != b and tree.add("time", "D ; D s".split(), 1) == b
+    assert tree.templates[b]["tokens"] == ["D", "<*>", "D", "s"]
