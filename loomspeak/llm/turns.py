@@ -86,12 +86,14 @@ class TokenTree:
 
 
 def _shape(c: Column) -> Column:
-    """The masked tokens of a line, blanks between them."""
-    text = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    text = F.regexp_replace(text, r"\d+", "D")
+    """The masked tokens of a time, blanks between them; most times are in standard form."""
+    text = F.regexp_replace(F.lower(F.trim(c)), r"\d+", "D")
     text = F.regexp_replace(text, r"[\p{L}\p{M}&&[^D]]{2,}", "W")
-    text = F.regexp_replace(text, r"(\S)", "$1 ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.trim(c).rlike(STANDARD), F.lit("D : D : D")).otherwise(F.trim(F.regexp_replace(text, r"(\S)\s*", "$1 ")))
+
+
+def _numbers(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)
 
 
 _PART = re.compile(r"\d+|[^\W\d_]+|\S")
@@ -108,14 +110,9 @@ def label_slots(label: str) -> list[str]:
     return [label, *(p for p in map(str.strip, _BETWEEN.split(label)) if p)]
 
 
-def _reading(c: Column, weights: tuple[int, ...]) -> Column:
-    """Whole seconds of a time by the weights of its slots."""
-    numbers = F.regexp_extract_all(c, F.lit(r"(\d{1,9})"), 1)
-    total = F.lit(0).cast("long")
-    for i, w in enumerate(weights):
-        if w:
-            total = total + F.get(numbers, F.lit(i)).cast("long") * w
-    return total
+def _reading(numbers: Column, weights: tuple[int, ...]) -> Column:
+    """Whole seconds of a time's numbers by the weights of its slots; null if a number is no long."""
+    return sum((F.get(numbers, F.lit(i)).try_cast("long") * w for i, w in enumerate(weights) if w), F.lit(0).cast("long"))
 
 
 TRIED = [w for n in READINGS for w in READINGS[n]]
@@ -123,12 +120,12 @@ TRIED = [w for n in READINGS for w in READINGS[n]]
 
 def _time_shapes(turns: DataFrame) -> DataFrame:
     """(shape, slots, n, r0, r1, …): the shapes of both times, and on how many rows each of TRIED agrees with the other time."""
-    std = lambda c: F.when(F.trim(c).rlike(STANDARD), _reading(F.trim(c), (3600, 60, 1)))
-    line = lambda x, other: F.struct(F.col(x).alias("x"), other.alias("other"))
-    lines = turns.select(F.inline(F.array(line("start", std(F.col("end"))), line("end", std(F.col("start")))))).where("x IS NOT NULL AND trim(x) <> ''")
-    slots = F.regexp_count("x", F.lit(r"\d+"))
-    agree = [F.count_if((F.col("slots") == len(w)) & (F.abs(_reading(F.col("x"), w) - F.col("other")) <= 120)).alias(f"r{i}") for i, w in enumerate(TRIED)]
-    return lines.select(_shape(F.col("x")).alias("shape"), slots.alias("slots"), "x", "other").groupBy("shape", "slots").agg(F.count("*").alias("n"), *agree)
+    n = turns.select("start", "end", _numbers(F.col("start")).alias("ns"), _numbers(F.col("end")).alias("ne"))
+    std = lambda x, numbers: F.when(F.trim(x).rlike(STANDARD), _reading(F.col(numbers), (3600, 60, 1)))
+    line = lambda x, numbers, other: F.struct(F.col(x).alias("x"), F.col(numbers).alias("numbers"), other.alias("other"))
+    lines = n.select(F.inline(F.array(line("start", "ns", std("end", "ne")), line("end", "ne", std("start", "ns"))))).where("x IS NOT NULL AND trim(x) <> ''")
+    agree = [F.count_if((F.col("slots") == len(w)) & (F.abs(_reading(F.col("numbers"), w) - F.col("other")) <= 120)).alias(f"r{i}") for i, w in enumerate(TRIED)]
+    return lines.select(_shape(F.col("x")).alias("shape"), F.size("numbers").alias("slots"), "numbers", "other").groupBy("shape", "slots").agg(F.count("*").alias("n"), *agree)
 
 
 def people_of(sessions: DataFrame) -> DataFrame:
@@ -184,19 +181,19 @@ def mined(turns: DataFrame, people: DataFrame) -> list[dict]:
     return out + [{"field": "time", "tokens": ["<*>"], "mask": ["D"] * n, "count": 0, "shapes": [], "slot": w} for n, w in sorted(rest.items()) if w]
 
 
-def _start_seconds(c: Column, templates: list[dict]) -> Column:
+def _start_seconds(shape: Column, numbers: Column, templates: list[dict]) -> Column:
     """Whole seconds of a time by its shape's template, or, beyond the mined shapes, by its number of slots."""
     times = [t for t in templates if t["field"] == "time" and t["slot"]]
-    shape, slots, out = _shape(c), F.regexp_count(c, F.lit(r"\d+")), F.lit(None).cast("long")
+    out = F.lit(None).cast("long")
     for t in times:
         if not t["shapes"]:
-            out = F.when(slots == len(t["slot"]), _reading(c, t["slot"])).otherwise(out)
+            out = F.when(F.size(numbers) == len(t["slot"]), _reading(numbers, t["slot"])).otherwise(out)
     by_slot: dict[tuple, list[str]] = {}
     for t in times:
         by_slot.setdefault(t["slot"], []).extend(t["shapes"])
-    for weights, known in by_slot.items():
+    for weights, known in sorted(by_slot.items(), key=lambda x: len(x[1])):
         if known:
-            out = F.when(shape.isin(known), _reading(c, weights)).otherwise(out)
+            out = F.when(shape.isin(known), _reading(numbers, weights)).otherwise(out)
     return out
 
 
@@ -350,8 +347,9 @@ def row_pieces(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     templates = mined(turns, people)
     slots = {shape: t["slot"] for t in templates if t["field"] == "speaker" and t["slot"] for shape in t["shapes"]}
     rows = first_delivery(turns.select("file", "turn_idx", "loaded_at", "start", "speaker", "text"), ["file", "turn_idx"], ["loaded_at"])
-    joined = rows.join(people, "file", "left").select(
-        "file", "turn_idx", _start_seconds(F.col("start"), templates).alias("sec"), "speaker", "text", "who"
+    read = rows.withColumn("shape", _shape(F.col("start"))).withColumn("numbers", _numbers(F.col("start")))
+    joined = read.join(people, "file", "left").select(
+        "file", "turn_idx", _start_seconds(F.col("shape"), F.col("numbers"), templates).alias("sec"), "speaker", "text", "who"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
