@@ -74,28 +74,48 @@ def with_ids(answers: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def moment_sources(answers: DataFrame, scenes: DataFrame, unrecognised: DataFrame, study: Study = DEFAULT) -> DataFrame:
-    """(file, source1, source2, source3, status): own, copied_from_moment1, missing or ambiguous.
+    """(file, source1, source2, source3, outcome, scene, confidence, evidence, present, notes, status) of every file with answers.
 
-    A moment without kept answers is copied from the first if the other one is there, nothing went unrecognised and
-    the first moment's scene doesn't clearly name another one. status is ok if every source is own or copied.
+    A source is own, copied_from_moment1, missing or ambiguous. If exactly one of moments 2 and 3 has no kept answers while moment 1
+    has some, outcome says why it is copied or not: ambiguous (an announcement went unrecognised), elsewhere (moment 1 is clearly
+    about another scene), off (no_fill), else copied: confirmed, among several, unconfirmed or unknown. notes holds (severity,
+    check, detail) of F17 to F27. status is ok if every source is own or copied, else review.
     """
-    kept = answers.groupBy("file").agg(*[F.max((F.col("kept") & (F.col("moment") == m)).cast("int")).alias(f"has{m}") for m in (1, 2, 3)])
-    s = kept.join(scenes.select("file", "scene", "confidence", "present"), "file", "left").join(unrecognised.groupBy("file").agg(F.count("*").alias("odd")), "file", "left")
-    topic = {2: "celebration", 3: "mother"}
-
-    def source(m: int):
-        other = F.col("has3" if m == 2 else "has2") == 1
-        elsewhere = (F.col("confidence") == "clear") & ~F.array_contains(F.coalesce("present", F.array()), topic[m])
-        missing_one = other & (F.col("has1") == 1)
-        return (
-            F.when(F.col(f"has{m}") == 1, "own")
-            .when(~missing_one, "missing").when(F.coalesce("odd", F.lit(0)) > 0, "ambiguous").when(F.coalesce(elsewhere, F.lit(False)), "missing")
-            .when(F.lit(study.no_fill), "missing").otherwise("copied_from_moment1")
-        )
-
-    out = s.select("file", F.when(F.col("has1") == 1, "own").otherwise("missing").alias("source1"), source(2).alias("source2"), source(3).alias("source3"))
-    good = ["own", "copied_from_moment1"]
-    return out.withColumn("status", F.when(F.col("source1").isin(good) & F.col("source2").isin(good) & F.col("source3").isin(good), "ok").otherwise("review"))
+    c = F.col
+    kept = answers.groupBy("file").agg(*[F.coalesce(F.bool_or(c("kept") & (c("moment") == m)), F.lit(False)).alias(f"has{m}") for m in (1, 2, 3)])
+    odd = unrecognised.groupBy("file").agg(F.min("turn_idx").alias("odd"))
+    s = kept.join(scenes, "file", "left").join(odd, "file", "left").withColumn("present", F.coalesce("present", F.array().cast("array<string>")))
+    s = s.withColumn("lone", F.when(c("has1") & c("has2") & ~c("has3"), 3).when(c("has1") & c("has3") & ~c("has2"), 2))
+    s = s.withColumn("wanted", F.coalesce(*[F.when(c("lone") == m, scene) for m, scene in study.skipped.items()]))
+    inside, clear, several = F.array_contains("present", c("wanted")), c("confidence") == "clear", F.size("present") > 1
+    s = s.withColumn(
+        "outcome",
+        F.when(c("lone").isNull(), None).when(c("odd").isNotNull(), "ambiguous").when(clear & ~inside, "elsewhere").when(F.lit(study.no_fill), "off")
+        .when(clear & (c("scene") == c("wanted")), "confirmed").when(inside & several, "among several").when(inside, "unconfirmed").otherwise("unknown"),
+    )
+    copied = c("outcome").isin("confirmed", "among several", "unconfirmed", "unknown")
+    source = lambda m: (
+        F.when(c(f"has{m}"), "own").when((c("lone") == m) & copied, "copied_from_moment1").when((c("lone") == m) & (c("outcome") == "ambiguous"), "ambiguous").otherwise("missing")
+    )
+    none = ~c("has2") & ~c("has3")
+    twice = F.get(F.array_intersect("present", F.array(*map(F.lit, study.skipped.values()))), F.lit(0))
+    said = [
+        (~c("has1"), "ERROR", F.lit("no text of moment 1")),
+        (c("outcome") == "ambiguous", "ERROR", F.format_string("moment %d missing, announcement at turn %d unrecognised", "lone", "odd")),
+        (c("outcome") == "elsewhere", "WARN", F.format_string("moment %d missing, moment 1 is about %s", "lone", "scene")),
+        (c("outcome") == "confirmed", "INFO", F.format_string("moment %d copied, scene %s confirmed", "lone", "wanted")),
+        (c("outcome") == "among several", "INFO", F.format_string("moment %d copied, %s among several scenes", "lone", "wanted")),
+        (c("outcome") == "unconfirmed", "WARN", F.format_string("moment %d copied, %s not confirmed", "lone", "wanted")),
+        (c("outcome") == "unknown", "WARN", F.format_string("moment %d copied, scene %s is not %s", "lone", "scene", "wanted")),
+        (none, "ERROR", F.lit("moments 2 and 3 missing")),
+        (c("lone").isNull() & ~none & c("odd").isNotNull(), "WARN", F.format_string("announcement at turn %d unrecognised, check the moments' bounds", "odd")),
+        (c("has1") & c("has2") & c("has3") & twice.isNotNull(), "INFO", F.format_string("scene %s told twice", twice)),
+        (several & (F.coalesce("outcome", F.lit("")) != "among several"), "INFO", F.concat(F.lit("moment 1 covers "), F.array_join("present", "+"))),
+    ]
+    notes = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit("moments").alias("check"), detail.alias("detail"))) for when, severity, detail in said]))
+    good = lambda m: c(f"source{m}").isin("own", "copied_from_moment1")
+    out = s.select("file", *[source(m).alias(f"source{m}") for m in (1, 2, 3)], "outcome", "scene", "confidence", "evidence", "present", notes.alias("notes"))
+    return out.withColumn("status", F.when(good(1) & good(2) & good(3), "ok").otherwise("review"))
 
 
 def materialise(answers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -36,17 +36,21 @@ def timestamp_issues(turns: DataFrame) -> DataFrame:
     return t.select("file", "turn_idx", F.explode(found).alias("issue"))
 
 
-def totals(answers: DataFrame) -> DataFrame:
-    """(participant_id, moment, answers_total, answers_kept, words_all, words_kept, retention), moment as text, with 'all' rows."""
-    base = answers.select("participant_id", F.col("moment").cast("string").alias("moment"), "kept", "n_words")
-    per = base.groupingSets([["participant_id", "moment"], ["participant_id"]], "participant_id", "moment").agg(
-        F.count("*").alias("answers_total"), F.count_if("kept").alias("answers_kept"), F.sum(F.coalesce("n_words", F.lit(0))).cast("long").alias("words_all"),
-        F.sum(F.when(F.col("kept"), F.coalesce("n_words", F.lit(0))).otherwise(0)).cast("long").alias("words_kept"), F.grouping("moment").alias("g"),
-    )
-    return per.select(
-        "participant_id", F.when(F.col("g") == 1, "all").otherwise(F.col("moment")).alias("moment"), "answers_total", "answers_kept", "words_all", "words_kept",
-        F.bround(F.col("words_kept") / F.nullif("words_all", F.lit(0)), 3).alias("retention"),
-    )
+def totals(answers: DataFrame, study: Study = DEFAULT) -> DataFrame:
+    """(participant_id, moment, answers_total, answers_kept, words_all, words_kept, retention), moment as text, with 'all' rows.
+
+    Every participant has a row for each of moments 1 to 3, of zeros where there is no answer, and retention is null without words.
+    """
+    base = answers.select("participant_id", "moment", "kept", F.coalesce("n_words", F.lit(0)).alias("w"))
+    in_ = lambda m: F.lit(True) if m == "all" else F.coalesce(F.col("moment") == m, F.lit(False))
+    moments = (1, 2, 3, "all")
+    per = base.groupBy("participant_id").agg(*[
+        F.struct(
+            F.lit(str(m)).alias("moment"), F.count_if(in_(m)).alias("answers_total"), F.count_if(in_(m) & F.col("kept")).alias("answers_kept"),
+            F.sum(F.when(in_(m), F.col("w")).otherwise(0)).cast("long").alias("words_all"), F.sum(F.when(in_(m) & F.col("kept"), F.col("w")).otherwise(0)).cast("long").alias("words_kept"),
+        ).alias(f"m{m}") for m in moments
+    ])
+    return per.select("participant_id", F.inline(F.array(*[f"m{m}" for m in moments]))).withColumn("retention", F.bround(F.col("words_kept") / F.nullif("words_all", F.lit(0)), 3))
 
 
 def filler_rates(texts: DataFrame, keys: list[str], text_col: str, study: Study = DEFAULT) -> DataFrame:
@@ -97,11 +101,11 @@ def sentence_lengths(sentences: DataFrame, study: Study = DEFAULT) -> DataFrame:
     )
 
 
-def flags(turns: DataFrame, answers: DataFrame, people: DataFrame, files: DataFrame, sources: DataFrame | None = None, issues: DataFrame | None = None, study: Study = DEFAULT) -> DataFrame:
+def flags(turns: DataFrame, answers: DataFrame, people: DataFrame, files: DataFrame, sources: DataFrame | None = None, issues: DataFrame | None = None, unreadable: DataFrame | None = None, study: Study = DEFAULT) -> DataFrame:
     """The union of all rules, with rank of severity; turns labelled and segmented where they have an opening.
 
     turns: all turns with roles and text flags, answers: with participant_id; people: file_people(); files: (file) of
-    all files read; sources: moment_sources(); issues: structure_issues().
+    all files read; sources: moment_sources(); issues: structure_issues(); unreadable: (file) of files that failed.
     """
     c = F.col
     by_file = turns.groupBy("file").agg(
@@ -141,20 +145,67 @@ def flags(turns: DataFrame, answers: DataFrame, people: DataFrame, files: DataFr
         kind = {"before_first_timestamp": "WARN", "label_inside_turn": "ERROR"}
         frames += [_flag(issues.where(c("issue") == i), "parsing", s, F.format_string("line %d: %s", "line_no", F.left("line", F.lit(60)))) for i, s in kind.items()]
     if sources is not None:
-        s = sources.join(people, "file", "left")
-        bad = lambda m, v: F.array_contains(F.array("source1", "source2", "source3"), v) if m is None else c(f"source{m}") == v
-        frames += [
-            _flag(s.where(bad(1, "missing")), "moments", "ERROR", F.lit("no text of moment 1")),
-            _flag(s.where(bad(None, "ambiguous")), "moments", "ERROR", F.lit("moment missing and announcement unrecognised")),
-            _flag(s.where(bad(2, "missing") & bad(3, "missing")), "moments", "ERROR", F.lit("moments 2 and 3 missing")),
-            _flag(s.where(bad(2, "missing") != bad(3, "missing")), "moments", "WARN", F.lit("one moment missing")),
-            _flag(s.where(bad(2, "copied_from_moment1") | bad(3, "copied_from_moment1")), "moments", "INFO", F.lit("moment copied from moment 1")),
-        ]
+        noted = sources.select("file", F.inline("notes")).join(people, "file", "left")
+        frames.append(noted.select("file", "participant_id", "check", "severity", "detail"))
+    if unreadable is not None:
+        frames.append(_flag(unreadable, "parsing", "ERROR", F.lit("file can't be read")))
     union = reduce(DataFrame.unionByName, frames)
     rank = F.when(c("severity") == "ERROR", 0).when(c("severity") == "WARN", 1).otherwise(2)
     return union.withColumn("rank", rank)
 
 
+def moment_report(turns: DataFrame, answers: DataFrame) -> DataFrame:
+    """(file, m1_duration_s, m1_words, … m3_words, n_moments): seconds and kept words of the moments of every segmented file.
+
+    A moment lasts from its first turn's start to that of the next moment there is, or to the last turn's end; null where a time isn't in
+    standard form, 0 without the moment. turns: with file, turn_idx, start, end, moment; answers: with file, moment, kept, n_words.
+    """
+    t = turns.select("file", "turn_idx", "moment", T.to_seconds(F.trim("start")).alias("s"), T.to_seconds(F.trim("end")).alias("e"))
+    first = lambda m: F.min_by(F.when(F.col("moment") == m, F.struct("s")), F.when(F.col("moment") == m, F.col("turn_idx")))
+    at = t.groupBy("file").agg(*[first(m).alias(f"b{m}") for m in (1, 2, 3)], F.max_by(F.struct("e"), "turn_idx").alias("last"))
+    words = answers.groupBy("file").agg(*[F.sum(F.when(F.col("kept") & (F.col("moment") == m), F.col("n_words")).otherwise(0)).cast("long").alias(f"m{m}_words") for m in (1, 2, 3)])
+    until = {1: F.when(F.col("b2").isNotNull(), F.col("b2.s")).when(F.col("b3").isNotNull(), F.col("b3.s")).otherwise(F.col("last.e")), 2: F.when(F.col("b3").isNotNull(), F.col("b3.s")).otherwise(F.col("last.e")), 3: F.col("last.e")}
+    n = lambda m: F.coalesce(f"m{m}_words", F.lit(0)).cast("long")
+    return at.join(words, "file", "left").select(
+        "file", *[x for m in (1, 2, 3) for x in (F.when(F.col(f"b{m}").isNull(), 0).otherwise(until[m] - F.col(f"b{m}.s")).alias(f"m{m}_duration_s"), n(m).alias(f"m{m}_words"))],
+        sum(((n(m) > 0).cast("int") for m in (1, 2, 3)), F.lit(0)).alias("n_moments"),
+    )
+
+
+def moment_summary(report: DataFrame, answers: DataFrame) -> DataFrame:
+    """(moment, files, median_s, min_s, max_s, participants, answers_kept, words_kept, median_words) of moments 1 to 3; times over values above 0."""
+    long_ = report.select(F.inline(F.array(*[F.struct(F.lit(m).alias("moment"), F.col(f"m{m}_duration_s").alias("s")) for m in (1, 2, 3)]))).where("s > 0")
+    times = long_.groupBy("moment").agg(F.count("*").alias("files"), F.percentile("s", F.lit(0.5)).alias("median_s"), F.min("s").alias("min_s"), F.max("s").alias("max_s"))
+    per = answers.where("kept AND moment BETWEEN 1 AND 3").groupBy("participant_id", "moment").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    words = per.groupBy("moment").agg(
+        F.countDistinct(F.when(F.col("w") > 0, F.col("participant_id"))).alias("participants"), F.sum("n").alias("answers_kept"), F.sum("w").alias("words_kept"), F.percentile("w", F.lit(0.5)).alias("median_words")
+    )
+    return words.join(times, "moment", "full").select("moment", "files", "median_s", "min_s", "max_s", "participants", "answers_kept", "words_kept", "median_words")
+
+
+def file_report(turns: DataFrame, people: DataFrame, segmented: DataFrame, answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file, participant_id, interviewer, m1_start … m3_start, evocations, answers, words, source1 … source3, scene, confidence, status): one row a file.
+
+    status names why a file is left out: no participant speaks, no opening, or the name of the file holds another id (without case);
+    else it is that of its sources.
+    """
+    starts = segmented.groupBy("file").agg(*[F.min(F.when(F.col("moment") == m, F.col("turn_idx"))).alias(f"m{m}_start") for m in (1, 2, 3)], F.count_if("evocation").alias("evocations"))
+    counts = answers.groupBy("file").agg(F.count_if("kept").alias("answers"), F.sum(F.when(F.col("kept"), F.col("n_words")).otherwise(0)).cast("long").alias("words"))
+    all_of = turns.select("file").distinct().join(people, "file", "left").join(starts, "file", "left").join(counts, "file", "left").join(sources.drop("notes", "outcome", "evidence", "present"), "file", "left")
+    named = F.regexp_extract("file", r"(?i)^(sub-[a-z]*\d+)", 1)
+    status = (
+        F.when(F.col("participant_id").isNull(), "left out: no participant").when(F.col("m1_start").isNull(), "left out: no opening")
+        .when((named != "") & (F.lower(named) != F.lower("participant_id")), "left out: another id").otherwise(F.coalesce("status", F.lit("review")))
+    )
+    return all_of.withColumn("status", status)
+
+
+def routed(flagged: DataFrame, folders: DataFrame) -> DataFrame:
+    """Flags with folder: the one of the file's name without ending if there is one of (folder), else the participant's."""
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    return flagged.withColumn("stem", stem).join(folders.select(F.col("folder").alias("stem"), F.col("folder").alias("own")).distinct(), "stem", "left").withColumn("folder", F.coalesce("own", "participant_id")).drop("stem", "own")
+
+
 def flag_counts(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("severity", "check").agg(F.count("*").alias("n"))
 

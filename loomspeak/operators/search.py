@@ -92,29 +92,27 @@ def parameter_grid(spark: SparkSession, model: TopicModel = TopicModel()) -> Dat
     return spark.createDataFrame(list(itertools.product(*values)), ", ".join(f"{n} int" for n in names))
 
 
-def topic_terms(docs: DataFrame, topic: str, text_col: str, model: TopicModel = TopicModel(), stopwords: tuple[str, ...] = (), doc: str | None = None) -> DataFrame:
+def topic_terms(docs: DataFrame, topic: str, text_col: str, model: TopicModel = TopicModel(), stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(topic, term, count, weight, place): class-based tf-idf of one and two word terms by topic.
 
-    A term's weight is its share in the topic times log(1 + mean words of a topic / its count in all topics). Terms in more
-    than max_df of all documents or fewer than min_df are left out.
+    A term's weight is its share in the topic times log(1 + mean words of a topic / its count in all topics). A topic is one
+    document here: terms in more than max_df of the topics or in fewer than min_df are left out.
     """
     from loomspeak.functions import text as T
 
     w = F.filter(T.words(F.col(text_col)), lambda x: ~x.isin(*stopwords) if stopwords else F.lit(True))
-    lists = docs.where(F.col(text_col).isNotNull() & F.col(topic).isNotNull()).select(F.col(topic).alias("topic"), (F.col(doc) if doc else F.xxhash64(text_col, topic)).alias("doc"), w.alias("w"))
+    lists = docs.where(F.col(text_col).isNotNull() & F.col(topic).isNotNull()).select(F.col(topic).alias("topic"), w.alias("w"))
     grams = F.col("w")
     if model.ngrams[1] >= 2:
         pairs = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
         grams = F.concat("w", pairs)
-    terms = lists.select("topic", "doc", F.explode(grams).alias("term"))
-    n_docs = lists.agg(F.count("*").alias("n_docs"))
-    # Occurrences and holding documents by topic first, so that nothing is shuffled by document.
-    counts = terms.groupBy("topic", "term", "doc").agg(F.count("*").alias("c")).groupBy("topic", "term").agg(F.sum("c").alias("count"), F.count("*").alias("df"))
-    overall = counts.groupBy("term").agg(F.sum("count").alias("total"), F.sum("df").alias("df"))
+    counts = lists.select("topic", F.explode(grams).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("count"))
+    n_topics = lists.select("topic").distinct().agg(F.count("*").alias("n_topics"))
+    overall = counts.groupBy("term").agg(F.sum("count").alias("total"), F.count("*").alias("df"))
     sizes = counts.groupBy("topic").agg(F.sum("count").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
-    kept = overall.crossJoin(F.broadcast(n_docs)).where((F.col("df") >= model.min_df) & (F.col("df") <= model.max_df * F.col("n_docs"))).select("term", "total")  # one row
-    weighed = counts.drop("df").join(kept, "term").join(sizes, "topic").crossJoin(F.broadcast(mean)).withColumn(  # one row
+    kept = overall.crossJoin(F.broadcast(n_topics)).where((F.col("df") >= model.min_df) & (F.col("df") <= model.max_df * F.col("n_topics"))).select("term", "total")  # one row
+    weighed = counts.join(kept, "term").join(sizes, "topic").crossJoin(F.broadcast(mean)).withColumn(  # one row
         "weight", F.col("count") / F.col("size") * F.log(1 + F.col("mean") / F.col("total"))
     )
     place = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 12)), "term")

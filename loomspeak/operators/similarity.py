@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,30 @@ def pair_cosines(good: DataFrame, dim: int, block: int = 1024) -> DataFrame:
     return spark.read.parquet(path).mapInArrow(run, "cosine double")
 
 
+def hashed_words(texts: list[str], dim: int) -> np.ndarray:
+    """A plain model: signed counts of lower-case words at hashed places; unlike texts are nearly orthogonal."""
+    out = np.zeros((len(texts), dim), np.float32)
+    for i, text in enumerate(texts):
+        for word in text.lower().split():
+            h = zlib.crc32(word.encode())
+            out[i, h % dim] += 1.0 if h & 0x80000000 else -1.0
+    return out
+
+
+def embedded(df: DataFrame, id_col: str, text_col: str, model: Callable[[list[str], int], np.ndarray] = hashed_words, dim: int = 64, batch: int = 512) -> DataFrame:
+    """(id, embedding) of every text that isn't null, by a model (texts, dim) -> matrix that workers call on batches of texts."""
+    part = df.select(id_col, F.col(text_col).alias("t")).where("t IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for at in range(0, len(texts), batch):
+                some = np.asarray(model(texts[at : at + batch], dim), np.float32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(list(some), pa.list_(pa.float32()))], names=[id_col, "embedding"])
+
+    return part.mapInArrow(run, f"{id_col} {dict(part.dtypes)[id_col]}, embedding array<float>")
+
+
 def by_group(vectors: DataFrame, label: str, vector_col: str = "embedding", dim: int = 64) -> DataFrame:
     """(baseline, groups, pairs, mean_similarity, sd, median, between_groups_mean): pairs within groups of one label.
 

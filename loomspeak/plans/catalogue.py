@@ -1,4 +1,4 @@
-"""Queries of the transcript operators over the driver's tables and over small inline transcripts, with their SQL."""
+"""Queries of the transcript operators over the whole tables of a folder, with the SQL of those that have any."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from loomspeak.config import DEFAULT, TopicModel
 from loomspeak.functions import text as T
 from loomspeak.operators import answers as A
 from loomspeak.operators import quality, scenes, search, segments, similarity, tagging
-from loomspeak.plans import fixtures
 from loomspeak.runtime import first_delivery, stage, table
 from loomspeak.sources import sinks, transcripts
 
@@ -167,31 +166,69 @@ def filler_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("participant_id", "moment", "words", *DEFAULT.fillers, "hesitation")
 
 
-@query()
+@query(
+    f"WITH {ANSWERS}, f AS (SELECT participant_id, CAST(sum({N_WORDS.format('cleaned_reflection')}) AS BIGINT) AS words, {_SUMS} FROM answers1 WHERE cleaned_reflection IS NOT NULL GROUP BY ALL) "
+    "SELECT participant_id, words, " + ", ".join(f'round(100 * "{k}" / nullif(words, 0), 2) AS "{k}_per100w"' for k in DEFAULT.fillers) + " FROM f"
+)
 def filler_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fillers and repetitions per 100 words; repetitions need a back-reference, which RE2 hasn't."""
-    return quality.filler_rates(answers_once(spark, sf_dir), ["participant_id"], "cleaned_reflection")
+    """Fillers per 100 words."""
+    rates = quality.filler_rates(answers_once(spark, sf_dir), ["participant_id"], "cleaned_reflection")
+    return rates.select("participant_id", "words", *[f"{k}_per100w" for k in DEFAULT.fillers])
+
+
+@query()
+def repetition_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words said again at once, which takes a back-reference that RE2 hasn't."""
+    rates = quality.filler_rates(answers_once(spark, sf_dir), ["participant_id"], "cleaned_reflection")
+    return rates.select("participant_id", "words", "repetitions", "repetitions_per100w", "hesitation", "hesitation_per100w")
 
 
 @query(
-    f"WITH {ANSWERS}, a AS (SELECT participant_id, CAST(moment AS VARCHAR) AS moment, n_words, n_words >= 3 AS kept FROM answers1), g AS (SELECT participant_id, moment, grouping(moment) AS g, count(*) AS answers_total, "
-    "count(*) FILTER (kept) AS answers_kept, CAST(sum(coalesce(n_words, 0)) AS BIGINT) AS words_all, CAST(sum(CASE WHEN kept THEN coalesce(n_words, 0) ELSE 0 END) AS BIGINT) AS words_kept "
-    "FROM a GROUP BY GROUPING SETS ((participant_id, moment), (participant_id))) SELECT participant_id, CASE WHEN g = 1 THEN 'all' ELSE moment END AS moment, answers_total, answers_kept, words_all, words_kept, "
-    "round_even(words_kept / nullif(words_all, 0), 3) AS retention FROM g"
+    f"WITH {ANSWERS}, m(moment, nr) AS (VALUES ('1', 1), ('2', 2), ('3', 3), ('all', NULL)), p AS (SELECT DISTINCT participant_id FROM answers1), "
+    "t AS (SELECT p.participant_id, m.moment, count(a.answer_id) AS answers_total, count(a.answer_id) FILTER (a.n_words >= 3) AS answers_kept, CAST(coalesce(sum(a.n_words), 0) AS BIGINT) AS words_all, "
+    "CAST(coalesce(sum(a.n_words) FILTER (a.n_words >= 3), 0) AS BIGINT) AS words_kept FROM p CROSS JOIN m LEFT JOIN answers1 a ON a.participant_id IS NOT DISTINCT FROM p.participant_id AND (m.nr IS NULL OR a.moment = m.nr) GROUP BY p.participant_id, m.moment) "
+    "SELECT *, round_even(words_kept / nullif(words_all, 0), 3) AS retention FROM t"
 )
 def totals_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers and words by participant and moment, with subtotals and retention."""
     return quality.totals(answers_once(spark, sf_dir).withColumn("kept", F.col("n_words") >= DEFAULT.min_words))
 
 
+_STUDY = r"trim(regexp_replace(lower(coalesce(source, '?')), '[\s_-]+', '_', 'g'), '_')"
+
+
+@query(f"SELECT coalesce(lang, '?') AS lang, {_STUDY} AS source, count(*) AS n FROM documents GROUP BY ALL")
+def crosstab_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: a crosstab in long form over all values, null keys shown as ?, sources in one spelling."""
+    source = F.btrim(F.regexp_replace(F.lower(F.coalesce("source", F.lit("?"))), r"[\s_-]+", "_"), F.lit("_"))
+    return table(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("?")).alias("lang"), source.alias("source")).agg(F.count("*").alias("n"))
+
+
 @query(
-    "SELECT coalesce(lang, '?') AS lang, count(*) FILTER (source = 'main_study') AS main_study, count(*) FILTER (source = 'remote_session') AS remote_session, count(*) FILTER (source = 'pilot_study') AS pilot_study FROM documents GROUP BY 1"
+    f"WITH {ANSWERS}, p AS (SELECT participant_id, count(*) AS k FROM answers1 WHERE participant_id IS NOT NULL AND n_words >= 3 GROUP BY 1) "
+    "SELECT count(*) AS n, round(avg(k), 4) AS mean, round(quantile_cont(k, 0.5), 4) AS median, min(k) AS min, round(quantile_cont(k, 0.05), 4) AS p5, round(quantile_cont(k, 0.95), 4) AS p95, max(k) AS max FROM p"
 )
-def crosstab_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: a crosstab, null keys shown as ?."""
-    d = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("?")))
-    names = ["main_study", "remote_session", "pilot_study"]
-    return d.groupBy("lang").pivot("source", names).agg(F.count(F.lit(1))).select("lang", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+def answers_per_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many kept answers participants have."""
+    per = answers_once(spark, sf_dir).where("participant_id IS NOT NULL AND n_words >= 3").groupBy("participant_id").agg(F.count("*").alias("k"))
+    return quality.describe(per, "k")
+
+
+@query(f"WITH {ANSWERS} SELECT moment, moment_source, count(*) AS n, count(DISTINCT file) AS files FROM answers1 GROUP BY ALL")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and files by moment and where the moment comes from."""
+    return answers_once(spark, sf_dir).groupBy("moment", "moment_source").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
+
+
+@query(
+    f"WITH {ANSWERS}, p AS (SELECT moment, participant_id, count(*) AS n, sum(n_words) AS w FROM answers1 WHERE n_words >= 3 AND moment BETWEEN 1 AND 3 GROUP BY ALL) "
+    "SELECT moment, count(DISTINCT participant_id) FILTER (w > 0) AS participants, CAST(sum(n) AS BIGINT) AS answers_kept, CAST(sum(w) AS BIGINT) AS words_kept, quantile_cont(w, 0.5) AS median_words FROM p GROUP BY moment"
+)
+def moment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants, kept answers and words by moment."""
+    a = answers_once(spark, sf_dir).withColumn("kept", F.col("n_words") >= DEFAULT.min_words)
+    none = spark.createDataFrame([], "m1_duration_s int, m2_duration_s int, m3_duration_s int")
+    return quality.moment_summary(none, a).select("moment", "participants", "answers_kept", "words_kept", F.col("median_words").cast("double").alias("median_words"))
 
 
 _LIST = (
@@ -220,6 +257,20 @@ def list_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row(inside, "answer_id", "listed").union(row(outside, "answer_id", "not listed")).union(row(without, "participant_id", "without answer"))
 
 
+@query(
+    f"WITH {ANSWERS}, {_LIST}, i AS (SELECT DISTINCT lower(participant_id) AS k FROM ids WHERE accepted), s AS (SELECT DISTINCT lower(participant_id) AS k FROM sessions), a AS (SELECT DISTINCT lower(participant_id) AS k FROM answers1 WHERE n_words >= 3) "
+    "SELECT CASE WHEN i.k NOT IN (SELECT k FROM s WHERE k IS NOT NULL) THEN 'no transcript' WHEN i.k NOT IN (SELECT k FROM a WHERE k IS NOT NULL) THEN 'no answer' ELSE 'done' END AS status, count(*) AS n FROM i GROUP BY 1"
+)
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many listed participants have a transcript and kept answers."""
+    key = F.lower("participant_id").alias("k")
+    listed = participant_ids(spark, sf_dir).where("accepted").select(key).distinct()
+    seen = table(spark, sf_dir, "sessions").select(key).distinct().withColumn("transcript", F.lit(True))
+    kept = answers_once(spark, sf_dir).where("n_words >= 3").select(key).distinct().withColumn("answered", F.lit(True))
+    status = F.when(F.col("transcript").isNull(), "no transcript").when(F.col("answered").isNull(), "no answer").otherwise("done")
+    return listed.join(seen, "k", "left").join(kept, "k", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 @query(
     "SELECT participant_id, list_sort(list(file)) AS files, count(*) AS n FROM (SELECT DISTINCT regexp_extract(file, '(?i)(sub-[a-z]*\\d+)', 1) AS participant_id, file FROM sessions) GROUP BY participant_id"
 )
@@ -278,11 +329,21 @@ def similarity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("baseline", "groups", "pairs", *[F.round(c, 6).alias(c) for c in ("mean_similarity", "sd", "median", "between_groups_mean")])
 
 
-@query()
+_ANSWER_PAIRS = (
+    "v AS (SELECT row, moment, CAST(embedding AS DOUBLE[]) AS e FROM answer_embeddings WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))), "
+    "p AS (SELECT a.moment AS la, b.moment AS lb, CASE WHEN isnan(list_cosine_similarity(a.e, b.e)) THEN 0 ELSE coalesce(list_cosine_similarity(a.e, b.e), 0) END AS c FROM v a JOIN v b ON a.row < b.row)"
+)
+
+
+@query(
+    f"WITH {_ANSWER_PAIRS}, g AS (SELECT la, count(*) AS n, avg(c) AS m FROM p WHERE la = lb GROUP BY la) SELECT 'any two' AS baseline, CAST(NULL AS BIGINT) AS groups, count(*) AS pairs, round(avg(c), 6) AS mean_similarity, round(stddev_samp(c), 6) AS sd FROM p "
+    "UNION ALL SELECT 'moment', count(*), CAST(sum(n) AS BIGINT), round(avg(m), 6), round(stddev_samp(m), 6) FROM g"
+)
 def similarity_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N02, N03 over the answers' vectors, by moment: sums only, one pass however many vectors there are."""
     v = table(spark, sf_dir, "answer_embeddings")
-    return similarity.overall(v).withColumn("groups", F.lit(None).cast("long")).unionByName(similarity.by_group(v, "moment").select("baseline", "groups", "pairs", "mean_similarity", "sd"))
+    both = similarity.overall(v).withColumn("groups", F.lit(None).cast("long")).unionByName(similarity.by_group(v, "moment").select("baseline", "groups", "pairs", "mean_similarity", "sd"))
+    return both.select("baseline", "groups", "pairs", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("sd", 6).alias("sd"))
 
 
 _SCORED = (
@@ -335,14 +396,14 @@ _GRAMS = f"g AS (SELECT moment, answer_id, list_concat(w, list_transform(generat
 
 
 @query(
-    f"WITH {ANSWERS}, {_GRAMS}, x AS (SELECT moment AS topic, answer_id, unnest(t) AS term FROM g), c AS (SELECT topic, term, count(*) AS count FROM x GROUP BY ALL), n AS (SELECT count(*) AS n FROM g), "
-    "o AS (SELECT term, count(DISTINCT answer_id) AS df, count(*) AS total FROM x GROUP BY term), s AS (SELECT topic, sum(count) AS size FROM c GROUP BY topic), m AS (SELECT avg(size) AS mean FROM s), "
+    f"WITH {ANSWERS}, {_GRAMS}, x AS (SELECT moment AS topic, answer_id, unnest(t) AS term FROM g), c AS (SELECT topic, term, count(*) AS count FROM x GROUP BY ALL), n AS (SELECT count(DISTINCT moment) AS n FROM g), "
+    "o AS (SELECT term, count(DISTINCT topic) AS df, count(*) AS total FROM x GROUP BY term), s AS (SELECT topic, sum(count) AS size FROM c GROUP BY topic), m AS (SELECT avg(size) AS mean FROM s), "
     "w AS (SELECT topic, term, count, count / size * ln(1 + mean / total) AS weight FROM c JOIN o USING (term) JOIN s USING (topic), m, n WHERE df <= 0.95 * n.n), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) AS place FROM w) SELECT topic, term, count, round(weight, 9) AS weight, CAST(place AS INT) AS place FROM r WHERE place <= 15"
 )
 def keyword_ctfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words and word pairs that tell moments apart."""
-    return search.topic_terms(answers_once(spark, sf_dir), "moment", "cleaned_reflection", stopwords=DEFAULT.stopwords, doc="answer_id").withColumn("weight", F.round("weight", 9))
+    return search.topic_terms(answers_once(spark, sf_dir), "moment", "cleaned_reflection", stopwords=DEFAULT.stopwords).withColumn("weight", F.round("weight", 9))
 
 
 @query(
@@ -365,8 +426,12 @@ def people_and_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.file_people(t).join(opening, "file")
 
 
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.with_text_flags(segments.with_roles(turns_once(spark, sf_dir)))
+
+
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.segment(segments.with_text_flags(segments.with_roles(turns_once(spark, sf_dir))))
+    return segments.segment(_flagged(spark, sf_dir))
 
 
 @query()
@@ -394,7 +459,14 @@ def answer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.tag_answers(sentence_tags(spark, sf_dir))
 
 
-@query()
+_KEYWORDS = "|".join(w for pair in DEFAULT.scenes.values() for words in pair for w in words).replace("'", "''")
+_UNNAMED = "regexp_replace(cleaned_reflection, '(?i)\\b(?:" + _KEYWORDS + ")\\b', ' ', 'g')"
+
+
+@query(
+    f"WITH {ANSWERS}, w AS (SELECT unnest({WORDS.format(_UNNAMED)}) AS word FROM answers1 WHERE moment = 1) "
+    f"SELECT word, count(*) AS n FROM w WHERE length(word) > 3 AND word NOT IN {_IN(DEFAULT.stopwords)} GROUP BY word ORDER BY n DESC, word LIMIT 30"
+)
 def scene_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words that no scene keyword covers, a report."""
     return tagging.unmatched_words(answers_once(spark, sf_dir).where("moment = 1"), "cleaned_reflection")
@@ -406,34 +478,63 @@ def scene_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.moment1_scenes(_segmented(spark, sf_dir))
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    turns = stage(_segmented(spark, sf_dir), "segmented")
-    people = segments.file_people(segments.with_roles(turns_once(spark, sf_dir)))
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Turns with text flags, people, segmented turns, answers and the sources of moments, each worked out once."""
+    flagged = stage(_flagged(spark, sf_dir), "flagged")
+    people = stage(segments.file_people(flagged), "people")
+    turns = stage(segments.segment(flagged), "segmented")
     answers = stage(A.with_ids(A.build_answers(turns), people), "answers")
-    return turns, answers, A.moment_sources(answers, scenes.moment1_scenes(turns), turns.where("unrecognised"))
+    return flagged, people, turns, answers, A.moment_sources(answers, scenes.moment1_scenes(turns), turns.where("unrecognised"))
 
 
 @query()
 def moment_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each moment's answers come from, and whether a file is complete."""
-    return _decided(spark, sf_dir)[2]
+    """Where each moment's answers come from, why, with notes, and whether a file is complete."""
+    return _decided(spark, sf_dir)[4]
 
 
 @query()
 def segment_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept answers by segment, copies keeping moment and id."""
-    _, answers, sources = _decided(spark, sf_dir)
+    *_, answers, sources = _decided(spark, sf_dir)
     return A.materialise(answers, sources).select("segment", "answer_id", "file", "moment", "moment_source", "clean", "n_words")
 
 
+@query()
+def moment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duration and kept words of every file's moments."""
+    _, _, turns, answers, _ = _decided(spark, sf_dir)
+    return quality.moment_report(turns, answers)
+
+
+@query()
+def moment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations, participants and words by moment, over the segmented transcripts."""
+    _, _, turns, answers, _ = _decided(spark, sf_dir)
+    return quality.moment_summary(quality.moment_report(turns, answers), answers)
+
+
+@query()
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a file with bounds of moments, counts, sources, scene and status, files left out included."""
+    return quality.file_report(*_decided(spark, sf_dir))
+
+
+@query()
+def scene_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by scene of the first moment, confidence and status."""
+    return file_report(spark, sf_dir).groupBy("scene", "confidence", "status").agg(F.count("*").alias("n"))
+
+
 @query()
 def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-rows, O01, U01, J05: the flags of all rules that tables allow, with their rank; README lists those left out."""
-    turns = stage(segments.with_text_flags(segments.with_roles(turns_once(spark, sf_dir))), "flagged")
-    people = segments.file_people(turns)
-    segmented, answers, sources = _decided(spark, sf_dir)
-    turns = turns.join(segmented.where("unrecognised").select("file", "turn_idx", "unrecognised"), ["file", "turn_idx"], "left")
-    return quality.flags(turns, answers, people, table(spark, sf_dir, "sessions").select("file").distinct(), sources)
+    """F-rows, O01, U01, J05: the flags of all rules with their rank and folder, the worst first; structure rules over transcripts rebuilt from the turns."""
+    flagged, people, segmented, answers, sources = _decided(spark, sf_dir)
+    turns = flagged.join(segmented.where("unrecognised").select("file", "turn_idx", "unrecognised"), ["file", "turn_idx"], "left")
+    issues = transcripts.structure_issues(transcripts.lines(_rebuilt(spark, sf_dir)))
+    out = quality.flags(turns, answers, people, table(spark, sf_dir, "sessions").select("file").distinct(), sources, issues.join(people, "file", "left"))
+    folders = people.where("participant_id IS NOT NULL").select(F.regexp_replace("file", r"\.[^.]*$", "").alias("folder"))
+    return quality.routed(out, folders).orderBy("rank", "file")
 
 
 @query()
@@ -442,36 +543,51 @@ def qc_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.flag_counts(qc_flags(spark, sf_dir))
 
 
-@query(fixtures.PARSED_SQL)
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): transcripts written again from all turns: a timestamp line where both times are in standard form, then label and text."""
+    standard = lambda c: F.trim(c).rlike(r"^\d{1,2}:\d{2}:\d{2}$")
+    time = F.when(standard(F.col("start")) & standard(F.col("end")), F.concat(F.trim("start"), F.lit(" - "), F.trim("end"), F.lit("\n")))
+    said = F.concat(F.when(F.trim("speaker") != "", F.concat("speaker", F.lit(": "))).otherwise(""), F.coalesce("text", F.lit("")))
+    rows = turns_once(spark, sf_dir).where("file IS NOT NULL").select("file", F.struct("turn_idx", F.concat(F.coalesce(time, F.lit("")), F.coalesce(said, F.lit(""))).alias("line")).alias("row"))
+    return rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["line"]), "\n").alias("content"))
+
+
+@query()
 def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inline transcript parsed; its SQL lists the turns worked out by hand."""
-    return transcripts.parse_transcripts(transcripts.lines(fixtures.files(spark)))
+    """The transcripts of all turns, parsed again."""
+    return transcripts.parse_transcripts(transcripts.lines(_rebuilt(spark, sf_dir)))
 
 
-@query(fixtures.ISSUES_SQL)
+@query()
 def raw_structure_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines before the first timestamp and labels within turns of an inline transcript."""
-    return transcripts.structure_issues(transcripts.lines(fixtures.files(spark)))
+    """Lines before the first timestamp and labels within turns of all transcripts."""
+    return transcripts.structure_issues(transcripts.lines(_rebuilt(spark, sf_dir)))
 
 
-@query(fixtures.ANSWERS_SQL)
-def answers_three_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G08, G09 on an inline transcript of three moments; its SQL lists the answers worked out by hand."""
-    turns = segments.with_roles(fixtures.three_moments(spark))
-    labelled = segments.segment(segments.with_text_flags(turns))
-    out = A.with_ids(A.build_answers(labelled), segments.file_people(turns))
-    return out.select("answer_id", "start", "end", "n_turns_merged", "n_interviewer_turns_bridged", "n_words", "drop_reason", "clean")
+@query()
+def clean_text_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's text without annotations and hesitations, and how many there were; takes look-ahead, which RE2 hasn't."""
+    notes, brackets, sounds = T.annotation_counts(F.col("text"))
+    return turns_once(spark, sf_dir).select(
+        "file", "turn_idx", T.clean_text(F.col("text"), True).alias("clean"), notes.alias("n_annotations"), brackets.alias("n_stray_brackets"), sounds.alias("n_hesitations")
+    )
 
 
-@query(fixtures.CLEANED_SQL)
-def clean_text_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T01, T02 on inline texts; its SQL lists the cleaned texts worked out by hand."""
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(fixtures.RAW)], "id int, raw string")
-    return df.select("id", T.clean_text(F.col("raw"), True).alias("clean"))
+@query(
+    f"WITH {TURNS}, t AS (SELECT *, coalesce(lag(start_s) OVER (PARTITION BY file ORDER BY turn_idx), -1) AS before FROM turns1), i AS (SELECT file FROM t WHERE end_s < start_s UNION ALL SELECT file FROM t WHERE start_s < before), "
+    "p AS (SELECT file, min_by(speaker, turn_idx) FILTER (coalesce(regexp_matches(speaker, '(?i)^sub-p\\d+$'), false)) AS pid FROM turns1 GROUP BY file), a AS (SELECT DISTINCT participant_id AS folder FROM answers) "
+    "SELECT coalesce(CASE WHEN regexp_replace(i.file, '\\.[^.]*$', '') IN (SELECT folder FROM a WHERE folder IS NOT NULL) THEN regexp_replace(i.file, '\\.[^.]*$', '') END, pid) AS folder, count(*) AS n FROM i LEFT JOIN p USING (file) GROUP BY 1"
+)
+def flags_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamp flags by the folder they go to."""
+    turns = segments.with_roles(turns_once(spark, sf_dir))
+    noted = quality.timestamp_issues(turns).join(segments.file_people(turns), "file", "left")
+    folders = table(spark, sf_dir, "answers").where("participant_id IS NOT NULL").select(F.col("participant_id").alias("folder"))
+    return quality.routed(noted, folders).groupBy("folder").agg(F.count("*").alias("n"))
 
 
-@query(fixtures.TAGS_SQL)
-def tag_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C01 on inline sentences; its SQL lists the tags worked out by hand."""
-    df = spark.createDataFrame([(s,) for s, _ in fixtures.TAGGED], "sentence string")
-    return df.select("sentence", tagging.tag(F.col("sentence"))["tag"].alias("tag"))
+@query()
+def embedded_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of any two answers by vectors of a pluggable model, here hashed words."""
+    vectors = similarity.embedded(answers_once(spark, sf_dir), "answer_id", "cleaned_reflection")
+    return similarity.overall(vectors)

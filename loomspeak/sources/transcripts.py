@@ -25,6 +25,12 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*.txt", exclude: s
     return named.where(~F.col("path").rlike(exclude)) if exclude else named
 
 
+def unreadable(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """(file) of the files below folder that aren't among those read: with spark.sql.files.ignoreCorruptFiles one bad file doesn't end the run."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return listed.join(files.select("file").distinct(), "file", "left_anti")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file, line_no, line): the lines of every file from 1."""
     return files.select("file", F.posexplode(F.split("content", LINE_END)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from loomspeak.plans import fixtures
+from tests import fixtures
 from loomspeak.sources import sinks, transcripts
 from loomspeak.streaming.words import speaker_words
 
