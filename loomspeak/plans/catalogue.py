@@ -534,7 +534,7 @@ def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = transcripts.structure_issues(transcripts.lines(_rebuilt(spark, sf_dir)))
     out = quality.flags(turns, answers, people, table(spark, sf_dir, "sessions").select("file").distinct(), sources, issues.join(people, "file", "left"))
     folders = people.where("participant_id IS NOT NULL").select(F.regexp_replace("file", r"\.[^.]*$", "").alias("folder"))
-    return quality.routed(out, folders).orderBy("rank", "file")
+    return stage(quality.routed(out, folders), "flags").orderBy("rank", "file")  # staged, as a sort reads its input twice
 
 
 @query()

@@ -69,6 +69,6 @@ def test_topic_terms(spark):
 def test_totals_and_describe(spark):
     df = spark.createDataFrame([("p", 1, True, 10), ("p", 2, False, 10), ("q", 1, False, 0)], "participant_id string, moment int, kept boolean, n_words int")
     got = {(r.participant_id, r.moment): (r.words_all, r.words_kept, r.retention) for r in quality.totals(df).collect()}
-    assert got == {("p", "1"): (10, 10, 1.0), ("p", "2"): (10, 0, 0.0), ("p", "all"): (20, 10, 0.5), ("q", "1"): (0, 0, None), ("q", "all"): (0, 0, None)}
+    assert got == {("p", "1"): (10, 10, 1.0), ("p", "2"): (10, 0, 0.0), ("p", "3"): (0, 0, None), ("p", "all"): (20, 10, 0.5)} | {("q", m): (0, 0, None) for m in ("1", "2", "3", "all")}
     d = quality.describe(df, "n_words").first()
     assert (d.n, d.median, d.min, d.max) == (3, 10.0, 0, 10)
