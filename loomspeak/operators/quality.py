@@ -122,18 +122,22 @@ def flags(turns: DataFrame, answers: DataFrame, people: DataFrame, files: DataFr
     kept_words = totals(answers).where("moment = 'all'").withColumn("file", F.lit(None).cast("string"))
     several = people.where("participant_id IS NOT NULL").groupBy("participant_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("file")), ", ").alias("files")).where("n > 1")
     sentences = answers.where("kept").select("file", "participant_id", F.explode(T.split_sentences(c("clean"))).alias("s"))
+    of_file = [  # all rules over one row a file, in one pass
+        (c("n_p") == 0, "speakers", "ERROR", F.lit("no participant speaker")),
+        (c("n_unlabelled") > 0, "speakers", "WARN", F.format_string("%d turns without label", "n_unlabelled")),
+        (c("p_first"), "speakers", "INFO", F.lit("participant speaks first")),
+        ((id_of_file != "") & (F.lower(id_of_file) != F.lower("participant_id")), "speakers", "ERROR", F.lit("file name and label differ")),
+        (c("n_guide") > 0, "speakers", "WARN", F.format_string("%d guide phrases in participant turns", "n_guide")),
+        (c("opens").isNull(), "moments", "ERROR", F.lit("opening not found")),
+        (c("opens") == 0, "moments", "WARN", F.lit("nothing before the opening")),
+        (c("opens") > study.max_intro_share * c("n"), "moments", "WARN", F.lit("opening after half of the turns")),
+    ]
+    found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), detail.alias("detail"))) for when, check, severity, detail in of_file]))
     frames = [
+        by_file.select("file", "participant_id", F.inline(found)),
         _flag(files.join(turns.select("file").distinct(), "file", "left_anti"), "parsing", "ERROR", F.lit("no timestamped turns")),
-        _flag(by_file.where("n_p = 0"), "speakers", "ERROR", F.lit("no participant speaker")),
-        _flag(by_file.where("n_unlabelled > 0"), "speakers", "WARN", F.format_string("%d turns without label", "n_unlabelled")),
-        _flag(by_file.where("p_first"), "speakers", "INFO", F.lit("participant speaks first")),
-        _flag(by_file.where((id_of_file != "") & (F.lower(id_of_file) != F.lower("participant_id"))), "speakers", "ERROR", F.lit("file name and label differ")),
         _flag(shares.where(c("share") < study.min_participant_share), "speakers", "WARN", F.format_string("participant word share %.3f", "share")),
-        _flag(by_file.where("n_guide > 0"), "speakers", "WARN", F.format_string("%d guide phrases in participant turns", "n_guide")),
         _flag(times, "timestamps", "WARN", F.format_string("%s at turn %d", "issue", "turn_idx")),
-        _flag(by_file.where("opens IS NULL"), "moments", "ERROR", F.lit("opening not found")),
-        _flag(by_file.where("opens = 0"), "moments", "WARN", F.lit("nothing before the opening")),
-        _flag(by_file.where(c("opens") > study.max_intro_share * c("n")), "moments", "WARN", F.lit("opening after half of the turns")),
         _flag(per_moment.where((c("w") < study.min_moment_words) | (c("share") < study.min_moment_share)), "moments", "WARN", F.format_string("moment %d has %d words", "moment", "w")),
         _flag(several.withColumn("file", F.lit(None).cast("string")), "speakers", "ERROR", F.concat(F.lit("several files: "), "files")),
         _flag(kept_words.where(c("retention") < study.min_retention), "totals", "INFO", F.format_string("retention %.3f", "retention")),
